@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join
+from . import decontaminate, jaccard_join, packing
 from .common import read_table
 
 
@@ -20,7 +21,16 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "n_links", "n_shingles")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_pieces(packing.pack(read_table(spark, sf_dir, "documents")))
+
+
+def digest_pieces(pieces: DataFrame) -> DataFrame:
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op8_packing": op8_packing,
 }
