@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, jaccard_join, packing, suffix_dedup, token_counts, toxicity
-from .common import held_out, read_table
+from . import decontaminate, embedding_dedup, jaccard_join, language_id, packing, quality, suffix_dedup, token_counts, toxicity, warc
+from .common import held_out, materialize, read_table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = language_id.predict(docs, language_id.fit(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     found = toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
@@ -31,6 +37,20 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "n_links", "n_shingles")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    folder = warc.archive_folder(pages)
+    manifest = materialize(warc.write_archives(pages, folder), "warc-manifest")
+    return warc.read_archives(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts are the sources of documents, paths their languages within a source."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    found = quality.score(docs, labels, quality.fit(docs, labels), F.col("source"), F.col("lang"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "host_rate", "path_rate")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_pieces(packing.pack(read_table(spark, sf_dir, "documents")))
 
@@ -50,8 +70,11 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
+    "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_warc": op6_warc,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_packing": op8_packing,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,

@@ -24,3 +24,12 @@ select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(n_hit, 0) as
        coalesce(items_sha256, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from dw d left join words using (doc_id) left join items using (doc_id)
 """
+
+ORACLES["op6_warc"] = """
+with p as (
+  select page_id, cast(strlen(coalesce(html, '')) as bigint) as payload_bytes, sha1(coalesce(html, '')) as payload_digest,
+         max(page_id) over (partition by coalesce(html, '')) as head from pages
+)
+select page_id, payload_bytes, payload_digest, case when payload_bytes >= 1000 and page_id <> head then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 1000 and page_id <> head then head end as refers_to from p
+"""
