@@ -1 +1,6 @@
-"""Part of readloom."""
+"""Registered queries of the operators, over fixtures derived from the test tables."""
+
+from . import q_regions
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "q_regions"]
