@@ -1,6 +1,6 @@
 """Registered queries of the operators, over fixtures derived from the test tables."""
 
-from . import q_regions
+from . import q_counting, q_regions
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "q_regions"]
+__all__ = ["ORACLES", "QUERIES", "q_counting", "q_regions"]
