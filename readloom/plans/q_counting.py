@@ -234,11 +234,11 @@ def f7_terminal_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.col("assignment_type").isin("unique", "unique_minor_difference", "ambiguous", "inconsistent_non_intronic") & F.col("polya_found")).select("aln_id")
 
 
-@query("""select a.aln_id, coalesce(g.grp, 'NA') as grp from fx_aln a left join (select c_custkey, c_mktsegment as grp from customer where c_custkey % 2 = 0) g on a.barcode = concat('BC', cast(g.c_custkey as varchar))""")
+@query("""select a.aln_id, coalesce(g.grp, 'NA') as grp from fx_aln a left join (select c_custkey, c_mktsegment as grp from customer where c_acctbal > 0) g on a.barcode = concat('BC', cast(g.c_custkey as varchar))""")
 def j7_read_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups from a table, NA where it has none."""
     x = Fixtures(spark, sf_dir)
-    table = x.table("customer").where("c_custkey % 2 = 0").select(F.concat(F.lit("BC"), F.col("c_custkey").cast("string")).alias("barcode"), F.col("c_mktsegment").alias("grp"))
+    table = x.table("customer").where("c_acctbal > 0").select(F.concat(F.lit("BC"), F.col("c_custkey").cast("string")).alias("barcode"), F.col("c_mktsegment").alias("grp"))
     return x.alignments().select("aln_id", "barcode").join(table, "barcode", "left").select("aln_id", F.coalesce("grp", F.lit("NA")).alias("grp"))
 
 

@@ -232,11 +232,11 @@ def f1_alignment_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.filter_alignments(Fixtures(spark, sf_dir).alignments(), 12).select("aln_id")
 
 
-@query("""select aln_id from fx_aln a join fx_reads r using (aln_id) where not (r.gene_id % 3 = 0 and n_blocks <= 2 and (is_secondary or mapq < 1))""")
+@query("""select aln_id from fx_aln a join fx_reads r using (aln_id) where not (tag_group = 'N' and n_blocks <= 2 and (is_secondary or mapq < 1))""")
 def f2_simple_intergenic_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = Fixtures(spark, sf_dir)
-    rows = x.alignments().select("aln_id", "is_secondary", "mapq").join(x.reads().select("aln_id", "n_blocks", "gene_id"), "aln_id")
-    return R.drop_simple_intergenic(rows, F.col("n_blocks"), F.col("gene_id") % 3 == 0).select("aln_id")
+    rows = x.alignments().select("aln_id", "is_secondary", "mapq", "tag_group").join(x.reads().select("aln_id", "n_blocks"), "aln_id")
+    return R.drop_simple_intergenic(rows, F.col("n_blocks"), F.col("tag_group") == "N").select("aln_id")
 
 
 @query("""
