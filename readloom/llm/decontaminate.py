@@ -97,12 +97,18 @@ def remove_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     found = analyze(docs, items, doc_id=doc_id, text=text, **options).where("contaminated").select(F.col("doc_id").alias("_id"), "n_words", "n_hit", "spans").distinct()
     found = found.groupBy("_id").agg(F.collect_list(F.struct("n_words", "spans")).alias("_f"))
     joined = docs.join(found, F.col(doc_id).eqNullSafe(F.col("_id")), "left")
-    # pieces: a leading gap, then each word with the gap behind it
+    # pieces: a leading gap, then each word with the gap behind it. Arrays of one struct bind what the inner lambdas use, so it is computed once.
     pieces = F.regexp_extract_all(F.col(text), F.lit(r"([0-9A-Za-z\x{80}-\x{10FFFF}]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)"), F.lit(1))
     lead = F.regexp_extract(F.col(text), r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
-    spans = F.filter("_f", lambda f: f["n_words"] == F.size(pieces))[0]["spans"]
-    kept = F.filter(pieces, lambda p, i: ~F.exists(spans, lambda s: (s["first"] <= i) & (i <= s["last"])))
-    clean = F.when(spans.isNull(), F.col(text)).otherwise(F.concat(lead, F.array_join(kept, "")))
-    return joined.withColumn(text, clean).drop("_id", "_f")
 
+    def rebuilt(x: Column) -> Column:
+        kept = F.filter(x["pieces"], lambda p, i: ~F.exists(x["spans"], lambda s: (s["first"] <= i) & (i <= s["last"])))
+        return F.when(x["spans"].isNotNull(), F.array_join(kept, ""))
 
+    def own_spans(x: Column) -> Column:
+        spans = F.get(F.filter(x["found"], lambda f: f["n_words"] == F.size(x["pieces"])), F.lit(0))["spans"]
+        return F.transform(F.array(F.struct(x["pieces"].alias("pieces"), spans.alias("spans"))), rebuilt)[0]
+
+    bound = F.array(F.struct(pieces.alias("pieces"), F.col("_f").alias("found")))
+    body = F.when(F.col("_f").isNotNull(), F.transform(bound, own_spans)[0])
+    return joined.withColumn("_body", body).withColumn(text, F.coalesce(F.concat(lead, F.col("_body")), F.col(text))).drop("_id", "_f", "_body")
