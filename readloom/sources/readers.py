@@ -86,10 +86,10 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """Alignments of SAM text: fields, flags and tags as a map."""
     lines = spark.read.text(path).where(~F.col("value").startswith("@") & (F.col("value") != "")).select(F.split("value", "\t").alias("f"))
-    flag = F.col("f")[1].cast("int")
+    flag = F.get("f", F.lit(1)).try_cast("int")
     tags = F.slice("f", F.lit(12), F.greatest(F.size("f") - 11, F.lit(0)))
     return lines.select(
-        F.col("f")[0].alias("read_id"), flag.alias("flag"), F.col("f")[2].alias("chr"), F.col("f")[3].cast("bigint").alias("pos"), F.col("f")[4].cast("int").alias("mapq"), F.col("f")[5].alias("cigar"), F.col("f")[9].alias("seq"),
+        F.get("f", F.lit(0)).alias("read_id"), flag.alias("flag"), F.get("f", F.lit(2)).alias("chr"), F.get("f", F.lit(3)).try_cast("bigint").alias("pos"), F.get("f", F.lit(4)).try_cast("int").alias("mapq"), F.get("f", F.lit(5)).alias("cigar"), F.get("f", F.lit(9)).alias("seq"),
         (flag.bitwiseAND(4) != 0).alias("unmapped"), (flag.bitwiseAND(256) != 0).alias("is_secondary"), (flag.bitwiseAND(2048) != 0).alias("is_supplementary"), F.when(flag.bitwiseAND(16) != 0, "-").otherwise("+").alias("aligned_strand"),
         F.map_from_arrays(F.transform(tags, lambda t: F.substring(t, 1, 2)), F.transform(tags, lambda t: F.regexp_extract(t, r"^[^:]*:[^:]*:(.*)$", 1))).alias("tags"),
     )
