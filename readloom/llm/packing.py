@@ -35,7 +35,7 @@ def default_tokenizer() -> str:
 class ChunkEncoder:
     """Token ids of texts as little-endian uint32 bytes, with bounded memories of chunks and words."""
 
-    def __init__(self, path: str, remember: int = 600_000):
+    def __init__(self, path: str, remember: int = 250_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)

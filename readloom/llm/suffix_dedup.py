@@ -35,7 +35,7 @@ LENGTH, GRAM = 400, 32
 #: Different units that are indexed under one key at most; keys with more are cut into blocks of these sizes.
 MOST_UNITS, BLOCKS = 64, (46, 6, 1)
 #: Bytes that are hashed, and indexed, at a time.
-CHUNK, INDEX_BYTES = 4 << 20, 1 << 20
+CHUNK, INDEX_BYTES = (1 << 20) - 4096, 1 << 19
 _POSITION = np.uint64((1 << 24) - 1)
 
 

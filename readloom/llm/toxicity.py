@@ -41,6 +41,7 @@ NEGATIONS = ("not", "no", "never", "isn", "aren", "don", "nicht", "kein", "keine
 REPORTS = ("said", "says", "wrote", "quoted", "called", "claimed", "sagte", "schrieb", "zitierte", "dit", "écrit", "cité", "dijo", "escribió", "citó")
 
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n]").findall
+_OTHER = ("other", 0.0)
 _STOPS = frozenset(".!?;\n")
 _PATH = {"insult": 0.9, "insult+target": 0.93, "insult+negated": 0.5, "insult+reported": 0.5, "threat": 0.15, "threat+target": 0.35, "threat+negated": 0.1, "threat+reported": 0.1}
 
@@ -116,8 +117,8 @@ class Classifier:
         got = self.fixed.get(w)
         if got is None:
             best = max((self.model.stems.get(w[:k], 0.0) for k in self.lengths), default=0.0)
-            got = ("insult", best) if best else ("other", 0.0)
-        if len(self.seen) > 500_000:
+            got = ("insult", best) if best else _OTHER
+        if len(self.seen) > 200_000:
             self.seen.clear()
         self.seen[w] = got
         return got
@@ -240,13 +241,20 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return model
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Short batches, so that few texts are Python strings at a time."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            yield whole.slice(at, rows)
+
+
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: doc_id, score, n_clauses matched, labels (paths of the matched clauses), words."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = model.classes()
-        for batch in batches:
+        for batch in _slices(batches):
             found = [reader.matches(t) if t else [] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(np.array([reader.score(m) for m in found], dtype=float)), pa.array([len(m) for m in found], pa.int64()), pa.array([[x[0] for x in m] for m in found], pa.list_(pa.string())), pa.array([[x[2] for x in m] for m in found], pa.list_(pa.string()))],
@@ -261,7 +269,7 @@ def remove_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = model.classes()
-        for batch in batches:
+        for batch in _slices(batches):
             yield batch.filter(pa.array([reader.score(reader.matches(t) if t else []) < threshold for t in batch.column(text).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
