@@ -98,7 +98,7 @@ def _segments(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.nd
 
 
 def _emit_units(length: int, gram: int):
-    """Per text and unit content: (t, key, digest, n, a, spots), where spots are the starts of the unit in the text."""
+    """Per segment of a text and unit content: (t, key, digest, n, a, spots), where spots are the starts of the unit in the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -326,7 +326,7 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, mo
     marks = _resolve(contexts, length, blocks, most_units)
     copies = each.where("c > 1").select("key", "digest", F.lit(0).alias("start"), F.col("rep.n").alias("count"))
     marks = marks.unionAll(copies).groupBy("key", "digest").agg(F.collect_set(F.struct("start", "count")).alias("marks"))
-    mine = units.groupBy("t", "key", "digest").agg(F.first("spots").alias("spots"))
+    mine = units.groupBy("t", "key", "digest", F.element_at("spots", 1).alias("first")).agg(F.first("spots").alias("spots"))  # copies are one, segments are not
     found = mine.join(marks.hint("merge"), ["key", "digest"]).select("t", F.flatten(F.transform("spots", lambda s: F.transform("marks", lambda m: F.struct((s + m["start"]).alias("start"), m["count"].alias("count"))))).alias("ranges"))
     return found.groupBy("t").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 

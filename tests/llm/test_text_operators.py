@@ -200,6 +200,30 @@ def test_suffix_dedup_removes(spark, texts):
     assert suffix_dedup.analyze(frame(spark, [])).count() == 0
 
 
+def test_suffix_dedup_of_texts_in_several_segments(spark):
+    """A text longer than CHUNK is hashed in segments; the passage starts in two of them and crosses a border in another text."""
+    rnd, length = random.Random(11), 400
+    say = lambda n: "".join(rnd.choices("abcdefgh ", k=n))
+    passage, border = say(3000), suffix_dedup.CHUNK
+    long = say(100_000) + passage + say(1_397_000) + passage + say(97_000)
+    rows = [(1, long), (2, "la " * 500_000), (3, say(border - 1000) + passage + say(500_000)), (4, long), (5, say(700) + passage + say(700)), (6, say(2000))]
+    data = {i: t.encode() for i, t in rows}
+    hashes = {i: np.array([hash(b[k : k + length]) for k in range(len(b) - length + 1)]) for i, b in data.items()}
+    values, counts = np.unique(np.concatenate(list(hashes.values())), return_counts=True)
+    repeated = values[counts > 1]
+    want = Counter()
+    for i, b in data.items():
+        starts = np.flatnonzero(np.isin(hashes[i], repeated))
+        mark = np.zeros(len(b) + 1, dtype=np.int64)
+        mark[starts] += 1
+        mark[starts + length] -= 1
+        gone = np.cumsum(mark)[:-1] > 0
+        want[i, int(gone.sum()), hashlib.sha256(np.frombuffer(b, dtype=np.uint8)[~gone].tobytes()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.n_removed, r.kept_sha256) for r in suffix_dedup.analyze(frame(spark, rows)).collect()) == want
+    one = suffix_dedup.analyze(frame(spark, [rows[0]])).collect()[0]
+    assert one.n_spans == 2 and [s["from"] // 1000 for s in one.spans] == [100, 1500] and 6000 <= one.n_removed <= 6020
+
+
 def test_run_length_index():
     rnd = random.Random(2)
     for _ in range(60):
