@@ -111,12 +111,16 @@ def cluster_positions(positions: DataFrame, by: list[str], window: int = 50, lea
     return positions.groupBy(*by).applyInPandas(solve, f"{kinds}, site bigint, reads bigint")
 
 
-def chain_models(reads: DataFrame, transcripts: DataFrame, least: int) -> DataFrame:
-    """Intron chains that at least `least` reads have: known, new combination of known introns, or with a new intron."""
-    chains = reads.where(F.size("introns") > 0).groupBy("gene_id", "chr", "introns").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+def chain_models(reads: DataFrame, transcripts: DataFrame, least: int, least_known: int | None = None) -> DataFrame:
+    """Intron chains that at least `least` reads have: known, new combination of known introns, or with a new intron.
+
+    Chains of annotated transcripts need `least_known` reads instead, if it is given."""
+    least_known = least if least_known is None else least_known
+    chains = reads.where(F.size("introns") > 0).groupBy("gene_id", "chr", "introns").agg(F.count("*").alias("n")).where(F.col("n") >= min(least, least_known))
     known = transcripts.groupBy("gene_id").agg(F.collect_set("introns").alias("_chains"), F.array_distinct(F.flatten(F.collect_list("introns"))).alias("_introns"))
     kind = F.when(F.array_contains("_chains", F.col("introns")), "known").when(F.size(F.array_except("introns", "_introns")) == 0, "NIC").otherwise("NNIC")
-    return chains.join(known, "gene_id", "left").select("gene_id", "chr", I.blocks_to_text(F.col("introns")).alias("chain"), "n", kind.alias("kind"))
+    rows = chains.join(known, "gene_id", "left").select("gene_id", "chr", I.blocks_to_text(F.col("introns")).alias("chain"), "n", kind.alias("kind"))
+    return rows.where(F.col("n") >= F.when(F.col("kind") == "known", least_known).otherwise(least))
 
 
 def reference_gene(models: DataFrame, annotation: DataFrame, model: str) -> DataFrame:

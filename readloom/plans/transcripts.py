@@ -58,7 +58,7 @@ def analyze(alignments: DataFrame, exons: DataFrame, preset: str = "default", ge
         return counting.tpm(counting.count_features(each, feature, counting.weights(strategy, F.col(kind), F.col("n_features")), groups, confirm), groups)
 
     rows_of = resolved.where(F.size("gene_ids") == 1).select("chr", "introns", F.element_at("gene_ids", 1).alias("gene_id"))
-    chains = discovery.chain_models(rows_of, tx, DISCOVERY[models].min_novel_count)
+    chains = discovery.chain_models(rows_of, tx, DISCOVERY[models].min_novel_count, DISCOVERY[models].min_known_count)
     return Results(resolved, counts("gene_ids", "gene", "gene_assignment_type", gene_strategy), counts("tx_ids", "transcript", "assignment_type", transcript_strategy), chains)
 
 

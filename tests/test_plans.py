@@ -5,6 +5,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from readloom.__main__ import main
+from readloom.plans import transcripts
+from readloom.sources import readers
 from readloom.streaming import events
 
 
@@ -35,6 +37,19 @@ def test_bulk_run(spark, tmp_path):
     assert {(r.kind, int(r.n)) for r in read("models").collect()} == {("known", 5), ("NNIC", 3)}
 
 
+def test_bulk_run_known_models_need_fewer_reads(spark, tmp_path):
+    """Annotated chains of 2 reads and of 1, new ones of 3 and of 2, under presets with known and novel cutoffs (1, 3) and (2, 8)."""
+    tx = {"T1": [(1000, 1200), (2000, 2200), (3000, 3300)], "T2": [(1000, 1200), (3000, 3300)]}
+    (tmp_path / "a.gtf").write_text("".join(f'chr1\tx\texon\t{s}\t{e}\t.\t+\t.\tgene_id "G1"; transcript_id "{t}";\n' for t, blocks in tx.items() for s, e in blocks))
+    novel = lambda s: [(1000, 1200), (2000, 2200), (s, 2600), (3000, 3300)]
+    reads = [("a1", tx["T1"]), ("a2", tx["T1"]), ("b", tx["T2"])] + [(f"n{k}", novel(2500)) for k in range(3)] + [(f"o{k}", novel(2400)) for k in range(2)]
+    (tmp_path / "r.sam").write_text("@HD\n" + "".join(f"{r}\t0\tchr1\t{b[0][0]}\t60\t{cigar(b)}\t*\t0\t0\t*\t*\n" for r, b in reads))
+    exons = readers.exons_of(readers.read_gtf(spark, str(tmp_path / "a.gtf")))
+    rows = transcripts.alignment_blocks(readers.read_sam(spark, str(tmp_path / "r.sam")))
+    found = {p: sorted((r.kind, r.n) for r in transcripts.analyze(rows, exons, models=p).models.collect()) for p in ("default_ont", "reliable")}
+    assert found == {"default_ont": [("NNIC", 3), ("known", 1), ("known", 2)], "reliable": [("known", 2)]}
+
+
 def test_streams_match_batch(spark, tmp_path):
     t0 = datetime(2024, 1, 1)
     rows = [(k % 2, t0 + timedelta(minutes=m), f"u{m // 20}") for k, m in enumerate((0, 1, 5, 6, 40, 41, 90, 95))] + [(9, t0 + timedelta(days=2), "z")]
