@@ -182,6 +182,29 @@ def test_barcode_calling(spark, protocol):
     assert U.caller_stats(calls).head().reads == 22
 
 
+@pytest.mark.parametrize("protocol", list(U.LAYOUTS))
+def test_barcode_calling_without_landmarks(spark, protocol):
+    """1 kb reads: no poly-T, a first T-rich window far right of the primer, one left of the primer, and a damaged primer."""
+    rnd = random.Random(9)
+    layout = U.LAYOUTS[protocol]
+    dna = lambda n: "".join(rnd.choice("ACG") for _ in range(n))
+    white = sorted({dna(layout["barcode"]) for _ in range(20)})
+    rows, want = [], {}
+    for k in range(16):
+        barcode, umi = rnd.choice(white), dna(layout["umi"])
+        middle = barcode + umi if not layout["linker"] else barcode + layout["linker"] + umi if layout.get("linker_after") else barcode[: layout["split"]] + layout["linker"] + barcode[layout["split"] :] + umi
+        kind, tail, primer = ("no_tail", "far_tail", "late", "damaged")[k // 4], "T" * 30, layout["primer"]
+        seq = {"no_tail": dna(8) + primer + middle + dna(950), "far_tail": dna(8) + primer + middle + dna(500) + tail + dna(400), "late": dna(30) + tail + dna(600) + primer + middle + tail + dna(200), "damaged": dna(60) + primer[-5:] + middle + tail + dna(850)}[kind]
+        if k % 2:
+            seq = seq[::-1].translate(str.maketrans("ACGT", "TGCA"))
+        rows.append((f"{kind}{k}", seq))
+        want[f"{kind}{k}"] = (barcode, umi, "-" if k % 2 else "+")
+    rows += [("none", dna(1000)), ("only_tail", dna(300) + "T" * 30 + dna(600))]
+    calls = U.call_barcodes(spark.createDataFrame(rows, "read_id string, seq string"), spark.createDataFrame([(w,) for w in white], "barcode string"), protocol)
+    got = {r.read_id: (r.barcode, r.umi, r.strand) for r in calls.collect()}
+    assert {k: got[k] for k in want} == want and got["none"][0] is None and got["only_tail"][0] is None
+
+
 def test_concatemers_and_declared_layouts(spark):
     rnd = random.Random(8)
     dna = lambda n: "".join(rnd.choice("ACG") for _ in range(n))
