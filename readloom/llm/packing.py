@@ -7,8 +7,9 @@ Nothing is shuffled: a piece depends on its document alone.
 
 Defined results: null and empty texts give the end id alone; repeated rows are packed each; null ids are kept; extra
 columns are ignored; an empty table gives no pieces. Ids are those of the tokenizer over the whole text: it is run on
-white-space separated chunks, which its pre-tokenizer never joins, and each worker keeps the ids of chunks and words
-seen (bounded); texts with the control characters that Python and the tokenizer split differently are encoded whole.
+words of its pre-tokenizer's pattern (plain Latin texts) or on white-space separated chunks, which it never joins, and
+each worker keeps the ids of words seen (bounded); texts with the control characters that Python and the tokenizer split
+differently are encoded whole.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +33,29 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Memory(dict):
+    """Ids by key, made on a miss; of the entries, those of the last `most` misses or finds in the older half stay.
+
+    When the younger half is full it becomes the older one, so frequent keys are never made again."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int, longest: int = 64):
+        super().__init__()
+        self.make, self.most, self.longest = make, most, longest
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.older.get(key)
+        if ids is None:
+            ids = self.make(key)
+            if len(key) > self.longest:
+                return ids
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = ids
+        return ids
+
+
 class ChunkEncoder:
     """Token ids of texts as little-endian uint32 bytes, with bounded memories of chunks and words."""
 
@@ -40,50 +64,34 @@ class ChunkEncoder:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.remember = remember
+        self.words = _Memory(self._word, remember)
+        self.chunks = _Memory(self._chunk, remember // 8)
         kinds = {chr(c): unicodedata.category(chr(c))[0] for c in range(0x250)}
         letters = re.escape("".join(c for c, k in kinds.items() if k == "L"))
         numbers = re.escape("".join(c for c, k in kinds.items() if k == "N"))
-        # The pre-tokenizer's pattern, for chunks of plain Latin characters (U+0130 lower-cases to two).
+        # The pre-tokenizer's pattern, for plain Latin characters (U+0130 lower-cases to two); no match crosses white space.
         self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\s{letters}{numbers}]+").findall
-        self.plain = re.compile("[!-;=-~¡-įı-ɏ]*").fullmatch
+        self.plain = re.compile("[\t-\r !-;=-~¡-įı-ɏ]*").fullmatch
         self.odd = re.compile("[\x1c-\x1f]").search
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.byte_chars = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
-    def word(self, word: str) -> bytes:
+    def _word(self, word: str) -> bytes:
         symbols = word if word.isascii() else word.encode().decode("latin-1").translate(self.byte_chars)
-        ids = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
-        if len(self.words) >= self.remember:
-            self.words.clear()
-        if len(word) < 64:
-            self.words[word] = ids
-        return ids
+        return array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
 
-    def chunk(self, chunk: str) -> bytes:
+    def _chunk(self, chunk: str) -> bytes:
         if self.plain(chunk):
-            get = self.words.get
-            ids = b"".join([get(w) or self.word(w) for w in self.split(chunk.lower())])
-        else:
-            ids = array("I", self.whole.encode(chunk, add_special_tokens=False).ids).tobytes()
-        if len(self.chunks) >= self.remember:
-            self.chunks.clear()
-        if len(chunk) < 64:
-            self.chunks[chunk] = ids
-        return ids
+            return b"".join(map(self.words.__getitem__, self.split(chunk.lower())))
+        return array("I", self.whole.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def text(self, text: str) -> bytes:
+        if self.plain(text):
+            return b"".join(map(self.words.__getitem__, self.split(text.lower())))
         if self.odd(text):
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
-        get = self.chunks.get
-        chunks = text.split()
-        parts = [get(c) for c in chunks]
-        if None in parts:
-            parts = [self.chunk(c) if p is None else p for c, p in zip(chunks, parts, strict=True)]
-        return b"".join(parts)
+        return b"".join(map(self.chunks.__getitem__, text.split()))
 
 
 def encoder(path: str) -> ChunkEncoder:
