@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and every executor see: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """Folder that the driver and every executor see: spark.checkpoint.dir, or the context's checkpoint folder. Where neither is
+    set, a local session (tests) gets a folder of its own, and a cluster is refused, as its machines share no local folder."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at and spark.sparkContext.getCheckpointDir():
+        at = spark.sparkContext.getCheckpointDir().rstrip("/").rpartition("/")[0]  # Spark adds a folder of its own
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="readloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -50,6 +56,61 @@ def drop_tables(*dfs: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def short_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Texts may be long: fewer rows than Spark's default go to a Python worker at a time, unless the session says otherwise."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches of at most so many rows, and bytes (but for single rows), so that few texts are unpacked at a time."""
+    for whole in batches:
+        todo = [whole.slice(at, rows) for at in range(0, whole.num_rows, rows)][::-1]
+        while todo:
+            part = todo.pop()
+            if part.num_rows > 1 and part.nbytes > size:
+                half = part.num_rows // 2
+                todo += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], whole: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function over slices() (with whole, over the batches as they come); what it freed goes back to the system at its end."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches if whole else slices(batches))
+        _release()
+
+    return runs
+
+
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+#: Hashes of sampled rows lie below a threshold out of this many.
+SAMPLE_SPACE = 1 << 62
+
+
+def sample_threshold(most: int, total: int) -> int:
+    """Threshold for sample_hash() that `most` of `total` rows lie below, as expected; exact at every size, and never zero."""
+    return SAMPLE_SPACE if total <= most else max(1, SAMPLE_SPACE * most // total)
+
+
+def sample_hash(salt: str, *columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns, F.lit(salt)), F.lit(SAMPLE_SPACE))
+
+
+def text_hash(text: Column) -> list[Column]:
+    """(_t, _t2): 96 bits that tell texts apart; null has a hash, too."""
+    return [F.xxhash64(text).alias("_t"), F.hash(text).alias("_t2")]
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
