@@ -16,7 +16,7 @@ texts). Indexing every suffix of a corpus in one place does not scale, so string
 
 Defined results: null and empty texts have no bytes and lose none; texts shorter than `length` lose none; repeated rows
 are each other's repeats; null ids are kept; a cut may fall inside a character (the kept bytes are exact; as text such
-bytes are dropped from the kept text). Texts are told apart by a 64-bit hash.
+bytes are dropped from the kept text). Texts are told apart by 96 bits of hashes, units by 128.
 """
 
 from __future__ import annotations
@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _TABLE, grouped, materialize, mix64, prefix_hash, text_bytes, window_hash
+from .common import _TABLE, drop_tables, grouped, lean, materialize, mix64, prefix_hash, slices, text_bytes, text_hash, window_hash
 
 LENGTH, GRAM = 400, 32
 #: Different units that are indexed under one key at most; keys with more are cut into blocks of these sizes.
 MOST_UNITS, BLOCKS = 64, (46, 6, 1)
 #: Bytes that are hashed, and indexed, at a time.
-CHUNK, INDEX_BYTES = (1 << 20) - 4096, 1 << 19
+CHUNK, INDEX_BYTES = (1 << 18) - 4096, 1 << 18
 _POSITION = np.uint64((1 << 24) - 1)
 
 
@@ -98,11 +98,11 @@ def _segments(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.nd
 
 
 def _emit_units(length: int, gram: int):
-    """Per segment of a text and unit content: (t, key, digest, n, a, spots), where spots are the starts of the unit in the text."""
+    """Per segment of a text and unit content: (t, t2, key, digest, n, a, spots), where spots are the starts of the unit in the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = np.asarray(batch.column("t"))
+            names, names2 = np.asarray(batch.column("t")), np.asarray(batch.column("t2"))
             for raw, bounds, rows, shift in _segments(batch.column("text"), length):
                 text, key, digest, first, n, a = units_of(raw, bounds, length, gram)
                 if not len(text):
@@ -114,7 +114,7 @@ def _emit_units(length: int, gram: int):
                 new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])
                 head = np.flatnonzero(new)
                 spots = pa.ListArray.from_arrays(np.concatenate((head, [len(row)])).astype(np.int32), pa.array(first.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(names[row[head]]), pa.array(key[head]), pa.array(digest[head]), pa.array(n[head].astype(np.int32)), pa.array(a[head].astype(np.int32)), spots], ["t", "key", "digest", "n", "a", "spots"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[row[head]]), pa.array(names2[row[head]]), pa.array(key[head]), pa.array(digest[head]), pa.array(n[head].astype(np.int32)), pa.array(a[head].astype(np.int32)), spots], ["t", "t2", "key", "digest", "n", "a", "spots"])
 
     return run
 
@@ -255,7 +255,7 @@ def _cut(block: int, length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["pkey", "pdigest", "from", "key", "digest", "a", "n", "ctx"]
-        for batch in batches:
+        for batch in slices(batches, 64, 1 << 18):
             out: list[list] = [[] for _ in names]
             for key, digest, a, n, ctx in zip(*(batch.column(c).to_pylist() for c in ("key", "digest", "a", "n", "ctx")), strict=True):
                 raw = np.frombuffer(ctx, dtype=np.uint8)
@@ -280,55 +280,68 @@ _MARK = "key long, digest long, start int, count int"
 
 
 def _resolve(units: DataFrame, length: int, blocks: tuple[int, ...], most: int) -> DataFrame:
-    """Marks of units (key, digest, a, n, ctx; several copies of one are one) that share strings with other units of their key."""
-    sizes = units.select("key", "digest").distinct().groupBy("key").agg(F.count("*").alias("d")).where("d > 1")
-    tagged = materialize(units.join(sizes.hint("merge"), "key"), "units")
-    few = tagged.where(F.col("d") <= most).select("key", "digest", "ctx")
-    marks = few.repartition("key").sortWithinPartitions("key").mapInArrow(_index_groups(length), _MARK)
-    many = tagged.where(F.col("d") > most).drop("d")
+    """Marks of units (key, digest, a, n, ctx, d: different units of the key, at least two) that share strings with others of their key."""
+    few = units.where(F.col("d") <= most).select("key", "digest", "ctx")
+    marks = few.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_index_groups(length), whole=True), _MARK)
+    many = units.where(F.col("d") > most).drop("d")
     if not blocks or many.isEmpty():
         return marks
-    parts = materialize(many.dropDuplicates(["key", "digest"]).mapInArrow(_cut(blocks[0], length), "pkey long, pdigest long, from int, key long, digest long, a int, n int, ctx binary"), "blocks")
-    copies = parts.groupBy("key", "digest").agg(F.count("*").alias("c")).where("c > 1")
+    # A unit comes once, but for a text whose rows Spark dealt over several tasks.
+    parts = materialize(many.dropDuplicates(["key", "digest"]).mapInArrow(lean(_cut(blocks[0], length), whole=True), "pkey long, pdigest long, from int, key long, digest long, a int, n int, ctx binary"), "blocks")
+    each = parts.groupBy("key", "digest").agg(F.count("*").alias("c"))
+    copies = each.where("c > 1")
     whole = parts.join(copies.hint("merge"), ["key", "digest"]).select(F.col("pkey").alias("key"), F.col("pdigest").alias("digest"), F.col("from").alias("start"), F.col("n").alias("count"))
-    inner = _resolve(parts.select("key", "digest", "a", "n", "ctx").dropDuplicates(["key", "digest"]), length, blocks[1:], most)
+    sizes = each.groupBy("key").agg(F.count("*").cast("int").alias("d")).where("d > 1")
+    inside = parts.select("key", "digest", "a", "n", "ctx").dropDuplicates(["key", "digest"]).join(sizes.hint("merge"), "key")
+    inner = _resolve(materialize(inside, "units"), length, blocks[1:], most)
     back = parts.select("pkey", "pdigest", "from", "key", "digest").join(inner.hint("merge"), ["key", "digest"]).select(F.col("pkey").alias("key"), F.col("pdigest").alias("digest"), (F.col("from") + F.col("start")).alias("start"), "count")
     return marks.unionAll(whole).unionAll(back)
 
 
 def _contexts(length: int):
-    """Bytes of the wanted units of each text."""
+    """Bytes of the wanted units of each text. Copies of a text follow each other (the join before sorted them); the first one serves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        names, kinds = ["key", "digest", "a", "n", "d", "ctx"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         for batch in batches:
-            raw, offsets = text_bytes(batch.column("text"))
-            raw = raw.tobytes()
-            cols = [[] for _ in range(5)]
-            for k, units in enumerate(batch.column("units").to_pylist()):
-                for u in units:
-                    s = int(offsets[k]) + u["first"]
-                    for where, v in zip(cols, (u["key"], u["digest"], u["a"], u["n"], raw[s : s + u["n"] + length - 1]), strict=True):
+            cols, size = [[] for _ in names], 0
+            for t, t2, text, units in zip(batch.column("t").to_pylist(), batch.column("t2").to_pylist(), batch.column("text"), batch.column("units"), strict=True):
+                if (t, t2) == last:
+                    continue
+                last, raw = (t, t2), text.as_py().encode()
+                for u in units.as_py():
+                    s = u["first"]
+                    for where, v in zip(cols, (u["key"], u["digest"], u["a"], u["n"], u["d"], raw[s : s + u["n"] + length - 1]), strict=True):
                         where.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["key", "digest", "a", "n", "ctx"])
+                    size += u["n"] + length
+                    if size > 1 << 22:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+                        cols, size = [[] for _ in names], 0
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
     return run
 
 
 def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, most_units: int = MOST_UNITS, blocks: tuple[int, ...] = BLOCKS) -> DataFrame:
-    """(t, ranges): for each text hash, the runs (start, count) of string starts that repeat. texts: (t, text)."""
-    units = materialize(texts.mapInArrow(_emit_units(length, gram), "t long, key long, digest long, n int, a int, spots array<int>"), "spots")
-    each = units.groupBy("key", "digest").agg(F.sum(F.size("spots")).alias("c"), F.min(F.struct("t", F.element_at("spots", 1).alias("first"), "a", "n")).alias("rep"))
+    """(t, t2, ranges): for each text, named by two hashes, the runs (start, count) of string starts that repeat. texts: (t, t2, text)."""
+    units = materialize(texts.mapInArrow(lean(_emit_units(length, gram)), "t long, t2 int, key long, digest long, n int, a int, spots array<int>"), "spots")
+    each = units.groupBy("key", "digest").agg(F.sum(F.size("spots")).alias("c"), F.min(F.struct("t", "t2", F.element_at("spots", 1).alias("first"), "a", "n")).alias("rep"))
     each = materialize(each, "contents")
-    keys = each.groupBy("key").agg(F.sum("c").alias("all"), F.count("*").alias("d")).where("all > 1")
-    wanted = each.join(keys.where("d > 1").hint("merge"), "key").select("rep.t", F.struct("key", "digest", "rep.first", "rep.a", "rep.n").alias("u"))
-    wanted = wanted.groupBy("t").agg(F.collect_list("u").alias("units"))
-    contexts = texts.join(wanted.hint("merge"), "t").mapInArrow(_contexts(length), "key long, digest long, a int, n int, ctx binary")
+    keys = each.groupBy("key").agg(F.sum("c").alias("all"), F.count("*").cast("int").alias("d")).where("all > 1")
+    wanted = each.join(keys.where("d > 1").hint("merge"), "key").select("rep.t", "rep.t2", F.struct("key", "digest", "rep.first", "rep.a", "rep.n", "d").alias("u"))
+    wanted = wanted.groupBy("t", "t2").agg(F.collect_list("u").alias("units"))  # of one text: bounded by its length
+    found = texts.join(wanted.hint("merge"), ["t", "t2"]).select("t", "t2", "text", "units")
+    contexts = materialize(found.mapInArrow(lean(_contexts(length), whole=True), "key long, digest long, a int, n int, d int, ctx binary"), "units")
     marks = _resolve(contexts, length, blocks, most_units)
     copies = each.where("c > 1").select("key", "digest", F.lit(0).alias("start"), F.col("rep.n").alias("count"))
-    marks = marks.unionAll(copies).groupBy("key", "digest").agg(F.collect_set(F.struct("start", "count")).alias("marks"))
-    mine = units.groupBy("t", "key", "digest", F.element_at("spots", 1).alias("first")).agg(F.first("spots").alias("spots"))  # copies are one, segments are not
-    found = mine.join(marks.hint("merge"), ["key", "digest"]).select("t", F.flatten(F.transform("spots", lambda s: F.transform("marks", lambda m: F.struct((s + m["start"]).alias("start"), m["count"].alias("count"))))).alias("ranges"))
-    return found.groupBy("t").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    marks = materialize(marks.unionAll(copies).groupBy("key", "digest").agg(F.collect_set(F.struct("start", "count")).alias("marks")), "marks")
+    drop_tables(each, contexts)
+    mine = units.groupBy("t", "t2", "key", "digest", F.element_at("spots", 1).alias("first")).agg(F.first("spots").alias("spots"))  # copies are one, segments are not
+    ranges = mine.join(marks.hint("merge"), ["key", "digest"]).select("t", "t2", F.flatten(F.transform("spots", lambda s: F.transform("marks", lambda m: F.struct((s + m["start"]).alias("start"), m["count"].alias("count"))))).alias("ranges"))
+    ranges = materialize(ranges.groupBy("t", "t2").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "ranges")
+    drop_tables(units, marks)
+    return ranges
 
 
 def covered(ranges: list[dict], length: int) -> list[tuple[int, int]]:
@@ -353,9 +366,11 @@ def _kept(text: str | None, ranges: list[dict], length: int) -> tuple[bytes, lis
 
 def _with_ranges(docs: DataFrame, text: str, options: dict) -> tuple[DataFrame, int]:
     length = options.get("length", LENGTH)
-    texts = docs.where(F.octet_length(text) >= length).select(F.xxhash64(text).alias("t"), F.col(text).alias("text"))
-    ranges = materialize(repeated_ranges(texts, **options), "ranges")
-    return docs.withColumn("_t", F.xxhash64(text)).join(ranges.withColumnRenamed("t", "_rt").hint("merge"), F.col("_t") == F.col("_rt"), "left").drop("_t", "_rt"), length
+    one, two = text_hash(F.col(text))
+    texts = docs.where(F.octet_length(text) >= length).select(one.alias("t"), two.alias("t2"), F.col(text).alias("text"))
+    ranges = repeated_ranges(texts, **options).withColumnsRenamed({"t": "_rt", "t2": "_rt2"})
+    joined = docs.withColumn("_t", one).withColumn("_t2", two).join(ranges.hint("merge"), (F.col("_t") == F.col("_rt")) & (F.col("_t2") == F.col("_rt2")), "left")
+    return joined.drop("_t", "_t2", "_rt", "_rt2"), length
 
 
 def analyze(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -366,15 +381,15 @@ def analyze(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **optio
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, gone, spans, sha = [], [], [], []
-            for body, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
-                kept, found, size = _kept(body, ranges, length)
+            for body, ranges in zip(batch.column("text"), batch.column("ranges"), strict=True):
+                kept, found, size = _kept(body.as_py(), ranges.as_py(), length)
                 n.append(size)
                 gone.append(size - len(kept))
                 spans.append([{"from": a, "to": b} for a, b in found])
                 sha.append(hashlib.sha256(kept).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array(sha, pa.string()), pa.array(spans, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<from:long,to:long>>")
+    return joined.mapInArrow(lean(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<from:long,to:long>>")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", **options) -> DataFrame:
@@ -385,11 +400,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bodies, keep = [], []
-            for body, ranges in zip(batch.column(text).to_pylist(), batch.column("ranges").to_pylist(), strict=True):
-                kept, spans, _ = _kept(body, ranges, length)
+            for body, ranges in zip(batch.column(text), batch.column("ranges"), strict=True):
+                body = body.as_py()
+                kept, spans, _ = _kept(body, ranges.as_py(), length)
                 bodies.append(kept.decode(errors="ignore") if spans else body)
                 keep.append(bool(kept) or not spans)
             columns = [pa.array(bodies, batch.schema.field(text).type) if c == text else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
 
-    return joined.select(*names, "ranges").mapInArrow(run, docs.schema)
+    return joined.select(*names, "ranges").mapInArrow(lean(run), docs.schema)

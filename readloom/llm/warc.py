@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, lean
 
 SKIPPABLE = 0x184D2A5D
 ARCHIVE_BYTES, DICTIONARY_BYTES, SAMPLE_BYTES = 24 << 20, 64 << 10, 6 << 20
@@ -90,8 +90,11 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     """Writes the archives when the returned rows (archive, n_records, n_bytes) are computed; keep those as the manifest."""
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
-    heads = rows.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    told = rows.join(heads.hint("merge"), "digest", "left").withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("head")), F.col("head")))
+    large = rows.where(F.col("size") >= least)
+    heads = large.groupBy("digest").agg(F.max("page_id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    large = large.join(heads.hint("merge"), "digest", "left").withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("head")), F.col("head")))
+    # Payloads that cannot be revisits are not shuffled.
+    told = large.drop("head").unionByName(rows.where(F.col("size") < least).withColumn("refers_to", F.lit(None).cast(rows.schema["page_id"].dataType)))
     told = told.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +121,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
         if held:
             yield flush()
 
-    return told.select("page_id", "url", "payload", "digest", "size", "refers_to").mapInArrow(run, "archive string, n_records long, n_bytes long")
+    return told.select("page_id", "url", "payload", "digest", "size", "refers_to").mapInArrow(lean(run), "archive string, n_records long, n_bytes long")
 
 
 def read_archives(manifest: DataFrame, folder: str, id_type: str = "bigint") -> DataFrame:
