@@ -2,7 +2,7 @@
 
 A text is a normalised TF-IDF vector of hashed byte trigrams (letters lower-cased, other ASCII as one space). Document
 frequencies are counted over all rows that may teach. Each language has several centroids, found by spherical k-means on
-a bounded sample of its rows. A text gets the language of the centroid with the largest cosine; it is also marked as
+a bounded sample of its rows, in the task that gets this sample. A text gets the language of the centroid with the largest cosine; it is also marked as
 rejected if that cosine is below what nearly all training members of the centroid reach.
 
 Defined results: `und` and score 0 for null texts and texts without a letter, and for all texts when nothing teaches;
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _FOLD, held_out, text_bytes
+from .common import _FOLD, grouped, held_out, lean, sample_hash, sample_threshold, text_bytes
 
 DIMENSIONS = 2048
 #: Sampled rows of one language that its centroids are fitted on at most (expected), and centroids of a language.
@@ -76,11 +76,10 @@ def _spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarr
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, rows = np.zeros(DIMENSIONS, dtype=np.int64), 0
-    for whole in batches:
-        for at in range(0, whole.num_rows, 256):
-            tf = counts(whole.slice(at, 256).column("text"))
-            total += (tf > 0).sum(axis=0)
-            rows += len(tf)
+    for batch in batches:
+        tf = counts(batch.column("text"))
+        total += (tf > 0).sum(axis=0)
+        rows += len(tf)
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMENSIONS + 1, dtype=np.int32)), pa.array(np.append(total, rows))], ["feature", "n"])
 
 
@@ -90,29 +89,37 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([r.tobytes() for r in tf], pa.binary())], ["lang", "tf"])
 
 
+def _clusters(idf: np.ndarray, centroids: int):
+    """(lang, centroid, cutoff) of the sampled vectors of each language, over a partition sorted by language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped(batches, ["lang"]):
+            x = weigh(np.frombuffer(b"".join(table.column("tf").to_pylist()), dtype=np.float32).reshape(table.num_rows, DIMENSIONS), idf)
+            c, own = _spherical_kmeans(x, centroids)
+            reach = [(x[own == j] @ c[j]) if (own == j).any() else np.zeros(1) for j in range(len(c))]
+            cutoffs = [float(np.quantile(r, REJECT_QUANTILE)) * REJECT_SLACK for r in reach]
+            yield pa.RecordBatch.from_arrays([pa.array([table.column("lang")[0].as_py()] * len(c)), pa.array([v.astype(np.float32).tobytes() for v in c], pa.binary()), pa.array(cutoffs, pa.float64())], ["lang", "centroid", "cutoff"])
+
+    return run
+
+
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS) -> Model | None:
-    """Learn from rows that are not held out and have a language; None if there are none."""
+    """Learn from rows that are not held out and have a language; None if there are none.
+
+    The driver gets one count and `centroids` vectors of DIMENSIONS numbers per language; a task gets the sample of a language."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.coalesce(F.col("text") != "", F.lit(False)))
     totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
     if not totals:
         return None
-    df = {r["feature"]: r["n"] for r in rows.select("text").mapInArrow(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()}  # DIMENSIONS rows
-    idf = np.log((1 + df[DIMENSIONS]) / (1 + np.array([df.get(k, 0) for k in range(DIMENSIONS)]))) + 0.05
-    share = F.create_map(*[F.lit(v) for k, n in totals.items() for v in (k, int(min(1.0, fit_rows / n) * 1e6))])
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1_000_000)) < share[F.col("lang")])
-    table = sample.select("text", "lang").mapInArrow(_vectors, "lang string, tf binary").toArrow()
-    names = np.array(table.column("lang").to_pylist(), dtype=object)
-    x = weigh(np.array([np.frombuffer(b, dtype=np.float32) for b in table.column("tf").to_pylist()]).reshape(len(names), DIMENSIONS), idf)
-    found, owners, cutoffs = [], [], []
-    for name in sorted(set(names)):
-        mine = x[names == name]
-        c, own = _spherical_kmeans(mine, centroids)
-        for j in range(len(c)):
-            reach = (mine[own == j] @ c[j]) if (own == j).any() else np.zeros(1)
-            found.append(c[j])
-            owners.append(name)
-            cutoffs.append(float(np.quantile(reach, REJECT_QUANTILE)) * REJECT_SLACK)
-    return Model(idf.astype(np.float32), np.array(found, dtype=np.float32), owners, np.array(cutoffs)) if found else None
+    df = {r["feature"]: r["n"] for r in rows.select("text").mapInArrow(lean(_frequencies), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()}  # DIMENSIONS rows
+    idf = (np.log((1 + df[DIMENSIONS]) / (1 + np.array([df.get(k, 0) for k in range(DIMENSIONS)]))) + 0.05).astype(np.float32)
+    share = docs.sparkSession.createDataFrame([(k, sample_threshold(fit_rows, n)) for k, n in totals.items()], "lang string, threshold long")
+    sample = rows.join(F.broadcast(share), "lang").where(sample_hash("lang", "doc_id", "text") < F.col("threshold"))  # one row per language
+    vectors = sample.select("text", "lang").mapInArrow(lean(_vectors), "lang string, tf binary")
+    found = vectors.repartition("lang").sortWithinPartitions("lang", "tf").mapInArrow(lean(_clusters(idf, centroids), whole=True), "lang string, centroid binary, cutoff double").toArrow().sort_by([("lang", "ascending"), ("centroid", "ascending")])
+    if not found.num_rows:
+        return None
+    return Model(idf, np.array([np.frombuffer(c, dtype=np.float32) for c in found.column("centroid").to_pylist()]), found.column("lang").to_pylist(), np.array(found.column("cutoff").to_pylist()))
 
 
 def predict(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -121,10 +128,8 @@ def predict(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text:
     names = sorted(set(model.languages)) if model else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                n = batch.num_rows
+        for batch in batches:
+            if n := batch.num_rows:
                 letters = np.array([bool(t) and _LETTER(t) is not None for t in batch.column("text").to_pylist()], dtype=bool)
                 lang, score, cosine, rejected = np.full(n, "und", dtype=object), np.zeros(n), np.zeros(n), np.ones(n, dtype=bool)
                 if model and letters.any():
@@ -138,4 +143,4 @@ def predict(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text:
                     rejected = ~letters | (cosine < model.cutoffs[which])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score.astype(float)), pa.array(cosine.astype(float)), pa.array(rejected)], ["doc_id", "lang_pred", "score", "cosine", "rejected"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, cosine double, rejected boolean")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), f"doc_id {kind}, lang_pred string, score double, cosine double, rejected boolean")

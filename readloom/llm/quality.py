@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, materialize, text_bytes, word_hashes
+from .common import held_out, lean, materialize, sample_hash, sample_threshold, text_bytes, word_hashes
 
 #: Labelled rows that the classifier is fitted on at most (expected).
 FIT_ROWS = 20_000
+#: Sites (pairs of host and path) whose rates are broadcast at most; the rates of more are joined by a shuffle.
+BROADCAST_SITES = 100_000
 _KINDS = ("upper", "lower", "digit", "space", "newline", "stop", "symbol", "wide")
 _KIND = np.full(256, 6, dtype=np.int64)
 _KIND[65:91], _KIND[97:123], _KIND[48:58], _KIND[32], _KIND[10], _KIND[128:] = 0, 1, 2, 3, 4, 7
@@ -92,9 +94,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     total = usable.count()
     if not total:
         return None
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1_000_000)) < int(min(1.0, fit_rows / total) * 1_000_000))
+    chosen = usable.where(sample_hash("quality", "doc_id") < sample_threshold(fit_rows, total))
     sample = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")  # bounded by fit_rows
-    table = sample.select("y", "text").mapInArrow(_featurize, "y int, x binary").toArrow()
+    table = sample.select("y", "text").mapInArrow(lean(_featurize), "y int, x binary").toArrow()
     if not table.num_rows:
         return None
     x = np.array([np.frombuffer(b) for b in table.column("x").to_pylist()])
@@ -116,14 +118,12 @@ def score(docs: DataFrame, labels: DataFrame, model: Model | None, host: Column,
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                logit = model.logit(features(batch.column("text"))) if model else np.zeros(batch.num_rows)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "host", "path")), pa.array(logit, pa.float64())], ["doc_id", "host", "path", "evidence"])
+        for batch in batches:
+            logit = model.logit(features(batch.column("text"))) if model else np.zeros(batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "host", "path")), pa.array(logit, pa.float64())], ["doc_id", "host", "path", "evidence"])
 
     named = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(host.cast("string"), F.lit("\x00")).alias("host"), F.coalesce(path.cast("string"), F.lit("\x00")).alias("path"), F.col(text).alias("text"))
-    rows = materialize(named.mapInArrow(run, f"doc_id {kind}, host string, path string, evidence double"), "quality")
+    rows = materialize(named.mapInArrow(lean(run), f"doc_id {kind}, host string, path string, evidence double"), "quality")
     taught = rows.select("doc_id", "host", "path").join(usable_labels(labels, doc_id, label).hint("merge"), "doc_id")
     paths = taught.groupBy("host", "path").agg(F.sum("y").alias("good"), F.count("*").alias("n"))
     paths = materialize(rows.select("host", "path").distinct().join(paths.hint("merge"), ["host", "path"], "left").fillna(0, ["good", "n"]), "paths")
@@ -136,7 +136,8 @@ def score(docs: DataFrame, labels: DataFrame, model: Model | None, host: Column,
     m = _strength(paths, "good", "n", "host_rate")
     paths = paths.select("host", "path", "host_rate", ((F.col("good") + m * F.col("host_rate")) / (F.col("n") + m)).alias("path_rate"))
     odds = lambda c: F.log(c / (1 - c))
-    found = rows.join(paths.hint("merge"), ["host", "path"])
+    few = paths.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES
+    found = rows.join(F.broadcast(paths) if few else paths.hint("merge"), ["host", "path"])
     return found.select("doc_id", (1 / (1 + F.exp(-(F.col("evidence") + odds(F.col("path_rate")) - odds(F.lit(base)))))).alias("score"), "evidence", "host_rate", "path_rate")
 
 
