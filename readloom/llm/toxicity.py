@@ -1,13 +1,19 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexical transducer turns each word into a class: insult, threat verb, target, negation, reporting verb or other. Three
-small transducers (target, negation, reported speech) are composed with it into one machine that reads a clause and
-writes, at each insult or threat, the label of the path taken. Clauses are scored, not isolated words: a matched clause
-weighs its lexeme's precision times its label's precision, and clauses combine as independent evidence.
+The machine is a chain of transducers. The lexicon reads the letters of a word and writes its class: insult, threat,
+target, negation, reporting verb or other, with a weight in its final states; learned stems are states that accept
+whatever follows. Clauses of these classes are then read twice: from right to left by a transducer that marks threats and
+insults aimed at a target behind them, and from left to right by the composition of three that mark negation, reported
+speech and a target ahead. What is written at an insult or threat is the label of its path, and it is the path that
+decides: a clause weighs its lexeme's weight times its path's precision. A plain or aimed insult or an aimed threat
+is evidence enough alone; negated, reported or unaimed ones are not, unless the labels say so. Clauses combine as
+independent evidence.
 
 Fitting: lexemes (words, and word stems of 4 to 7 letters) are learned from a bounded sample of labelled rows. A lexeme
 must occur between many different neighbours in toxic documents, so that copies of one document teach nothing, and
-rarely in others. Label precisions are counted on the same sample and shrunk toward priors.
+rarely in others. One that is precise only, or mostly, with a target close behind it is learned as a threat. One
+document counts PER_DOCUMENT times for a lexeme at most, toxic or not. Path precisions are counted on the same sample
+and shrunk toward priors.
 
 Defined results: null and empty texts score the share of toxic rows among documents without a match; repeated rows score
 alike; null labels and ids take no part in fitting; an empty label table leaves the seed lexicon and the priors.
@@ -26,24 +32,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, materialize
+from .common import drop_tables, held_out, lean, materialize, sample_hash, sample_threshold
 
 #: Labelled rows that fitting takes at most (expected; rows are chosen by a hash of their id).
 FIT_ROWS = 12_000
-#: Learned lexemes that are kept at most, by support; a candidate needs so many different contexts and this precision.
-MOST_LEXEMES, LEAST_CONTEXTS, LEAST_PRECISION = 4_000, 8, 0.8
+#: A learned lexeme needs so many different contexts and this precision; one aimed in this share of its contexts is a threat.
+LEAST_CONTEXTS, LEAST_PRECISION, AIMED = 8, 0.8, 0.6
+#: Evidence that one document gives for a lexeme at most, toxic or not: one long document teaches little.
+PER_DOCUMENT = 3
+#: Words between a threat and a target behind it at most, and one.
+REACH = 3
 
 # The seed word lists of the transducers.
 INSULTS = ("idiot", "moron", "scum", "loser", "pathetic", "worthless", "stupid", "imbecile", "dumbass", "arschloch", "dummkopf", "vollidiot", "connard", "abruti", "salope", "gilipollas", "imbécil", "estúpido")
 THREATS = ("kill", "murder", "strangle", "stab", "töten", "umbringen", "tuer", "égorger", "matar", "asesinar")
-TARGETS = ("you", "your", "u", "he", "she", "they", "him", "her", "them", "du", "dich", "dir", "ihr", "sie", "euch", "tu", "toi", "te", "vous", "votre", "ton", "tú", "ti", "usted", "ustedes", "vosotros")
+TARGETS = ("you", "your", "u", "he", "she", "they", "her", "du", "ihr", "sie", "tu", "vous", "votre", "ton", "tú", "usted", "ustedes", "vosotros")
+OBJECTS = ("him", "them", "dich", "dir", "euch", "te", "toi", "ti", "os")
 NEGATIONS = ("not", "no", "never", "isn", "aren", "don", "nicht", "kein", "keine", "nie", "pas", "jamais", "ne", "nunca", "jamás")
 REPORTS = ("said", "says", "wrote", "quoted", "called", "claimed", "sagte", "schrieb", "zitierte", "dit", "écrit", "cité", "dijo", "escribió", "citó")
 
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n]").findall
 _OTHER = ("other", 0.0)
 _STOPS = frozenset(".!?;\n")
-_PATH = {"insult": 0.9, "insult+target": 0.93, "insult+negated": 0.5, "insult+reported": 0.5, "threat": 0.15, "threat+target": 0.35, "threat+negated": 0.1, "threat+reported": 0.1}
+# Prior precision of each path; 0.3 decides.
+_PATH = {"insult": 0.9, "insult+target": 0.93, "insult+negated": 0.2, "insult+reported": 0.2, "threat": 0.15, "threat+target": 0.45, "threat+negated": 0.1, "threat+reported": 0.1}
 
 
 class Transducer:
@@ -74,28 +86,59 @@ class Transducer:
         return arcs
 
 
-def _within(reach: int, trigger: str, mark: str) -> Transducer:
+def _within(reach: int, triggers: tuple[str, ...], mark: str, kinds: tuple[str, ...] = ("insult", "threat")) -> Transducer:
     """Marks an insult or threat that comes at most `reach` words behind a trigger; 0 is any number. First mark wins."""
 
     def step(left, symbol):
-        kind = symbol.split("+")[0]
-        out = f"{symbol}+{mark}" if left and kind in ("insult", "threat") and "+" not in symbol else symbol
-        if kind == trigger:
+        out = f"{symbol}+{mark}" if left and symbol in kinds else symbol
+        if symbol in triggers:
             return (reach or -1), out
         return (left - 1 if left > 0 else left), out
 
     return Transducer(0, step)
 
 
-CLASSES = ["other", "insult", "threat", "target", "negation", "report"]
-GRAMMAR = _within(3, "negation", "negated").then(_within(0, "report", "reported")).then(_within(4, "target", "target"))
-ARCS = GRAMMAR.table(CLASSES)
+CLASSES = ["other", "insult", "threat", "target", "object", "negation", "report"]
+# Read from the right: the targets behind a word. Read from the left: negation and reported speech, which take precedence over a target,
+# and targets ahead, which as subjects say who is insulted, but not who is threatened.
+AIM = _within(REACH, ("target", "object"), "aimed")
+GRAMMAR = _within(3, ("negation",), "negated").then(_within(0, ("report",), "reported")).then(_within(4, ("object",), "target")).then(_within(4, ("target",), "target", ("insult",)))
+ARCS, BACK = GRAMMAR.table(CLASSES), AIM.table(CLASSES)
+
+
+def lexicon(accepted: dict[str, tuple[str, float]], stems: dict[str, tuple[str, float]]) -> Transducer:
+    """Transducer over letters: a trie whose states carry what is written at the end of a word. A word's own state comes first; else
+    the heaviest stem on the way. States are (node, heaviest stem so far); a letter without an arc leads to the node -1."""
+    arcs: list[dict[str, int]] = [{}]
+    word_of: list[tuple[str, float] | None] = [None]
+    stem_of: list[tuple[str, float] | None] = [None]
+    for entries, final in ((accepted, word_of), (stems, stem_of)):
+        for letters, written in entries.items():
+            node = 0
+            for c in letters:
+                if c not in arcs[node]:
+                    arcs[node][c] = len(arcs)
+                    arcs.append({})
+                    word_of.append(None)
+                    stem_of.append(None)
+                node = arcs[node][c]
+            final[node] = written
+
+    def step(state, letter):
+        node, best = state
+        node = arcs[node].get(letter, -1) if node >= 0 else -1
+        here = stem_of[node] if node >= 0 else None
+        if here and (best is None or here[1] > best[1]):
+            best = here
+        return (node, best), (node >= 0 and word_of[node]) or best or _OTHER
+
+    return Transducer((0, None), step)
 
 
 @dataclass
 class Model:
-    lexemes: dict[str, float] = field(default_factory=dict)  # precision of words and stems
-    stems: dict[str, float] = field(default_factory=dict)
+    lexemes: dict[str, tuple[str, float]] = field(default_factory=dict)  # class and precision of words and stems
+    stems: dict[str, tuple[str, float]] = field(default_factory=dict)
     labels: dict[str, float] = field(default_factory=lambda: dict(_PATH))
     unmatched: float = 0.05
 
@@ -104,88 +147,127 @@ class Model:
 
 
 class Classifier:
-    """The lexical transducer, with a bounded memory of words seen."""
+    """The composed machine; what the lexicon wrote for a word is remembered (bounded)."""
 
-    def __init__(self, model: Model):
-        self.model = model
-        self.fixed = {w: ("report", 0.0) for w in REPORTS} | {w: ("negation", 0.0) for w in NEGATIONS} | {w: ("target", 0.0) for w in TARGETS} | {w: ("threat", 1.0) for w in THREATS} | {w: ("insult", 1.0) for w in INSULTS}
-        self.fixed |= {w: ("insult", p) for w, p in model.lexemes.items()}
-        self.lengths = sorted({len(s) for s in model.stems}, reverse=True)
+    def __init__(self, model: Model, remember: int = 100_000):
+        self.model, self.remember = model, remember
+        fixed = {w: ("report", 0.0) for w in REPORTS} | {w: ("negation", 0.0) for w in NEGATIONS} | {w: ("target", 0.0) for w in TARGETS} | {w: ("object", 0.0) for w in OBJECTS} | {w: ("threat", 1.0) for w in THREATS} | {w: ("insult", 1.0) for w in INSULTS}
+        self.letters = lexicon(fixed | model.lexemes, model.stems)
         self.seen: dict[str, tuple[str, float]] = {}
+        self.weights = {k: model.labels.get(k.replace("aimed", "target"), 0.0) for k in {out for _, out in ARCS.values()} | {out for _, out in BACK.values()}}
 
     def word(self, w: str) -> tuple[str, float]:
-        got = self.fixed.get(w)
-        if got is None:
-            best = max((self.model.stems.get(w[:k], 0.0) for k in self.lengths), default=0.0)
-            got = ("insult", best) if best else _OTHER
-        if len(self.seen) > 200_000:
+        state, out = self.letters.start, _OTHER
+        for c in w:
+            state, out = self.letters.step(state, c)
+            if state[0] < 0:  # no arc leads back: the rest of the word changes nothing
+                break
+        if len(self.seen) > self.remember:
             self.seen.clear()
-        self.seen[w] = got
-        return got
+        self.seen[w] = out
+        return out
 
     def matches(self, text: str) -> list[tuple[str, float, str]]:
         """(label, lexeme weight, word) of the heaviest match of each matched clause."""
         tokens = _TOKEN(text.lower())
         get = self.seen.get
         kinds = [get(t) or self.word(t) for t in tokens]
-        if not any(w for _, w in kinds):
+        if not any([w for _, w in kinds]):
             return []
-        found, state, best = [], GRAMMAR.start, None
-        for token, (kind, weight) in zip(tokens, kinds, strict=True):
-            if token in _STOPS:
-                if best:
-                    found.append(best)
-                state, best = GRAMMAR.start, None
-                continue
+        ends = [k for k, t in enumerate(tokens) if t in _STOPS]
+        found = []
+        for a, b in zip([0, *(k + 1 for k in ends)], [*ends, len(tokens)], strict=True):
+            if best := self._clause(tokens[a:b], kinds[a:b]):
+                found.append(best)
+        return found
+
+    def _clause(self, tokens: list[str], kinds: list[tuple[str, float]]) -> tuple[str, float, str] | None:
+        if not any([w for _, w in kinds]):
+            return None
+        aimed, state = [False] * len(kinds), AIM.start
+        for k in range(len(kinds) - 1, -1, -1):
+            state, out = BACK[state, kinds[k][0]]
+            aimed[k] = out.endswith("+aimed")
+        best, state = None, GRAMMAR.start
+        for k, (kind, weight) in enumerate(kinds):
             state, out = ARCS[state, kind]
-            if weight and (best is None or weight * self.model.labels.get(out, 0.5) > best[1] * self.model.labels.get(best[0], 0.5)):
-                best = (out, weight, token)
-        return [*found, best] if best else found
+            if weight:
+                label = f"{out}+target" if aimed[k] and "+" not in out else out
+                if best is None or weight * self.weights.get(label, 0.0) > best[1] * self.weights.get(best[0], 0.0):
+                    best = (label, weight, tokens[k])
+        return best
 
     def score(self, found: list[tuple[str, float, str]]) -> float:
         clean = 1 - self.model.unmatched
         for label, weight, _ in found:
-            clean *= 1 - weight * self.model.labels.get(label, 0.5)
+            clean *= 1 - weight * self.weights.get(label, 0.0)
         return float(min(1.0, max(0.0, 1 - clean)))
 
 
-#: Evidence that one document gives for a lexeme at most, toxic or not: one long document teaches little.
-PER_DOCUMENT = 3
+_AIMS = frozenset(TARGETS) | frozenset(OBJECTS)
 
 
 def _lexemes(word: str) -> list[str]:
     """The word and its stems; stems are marked by a star."""
-    return [word[:40], *(word[:k] + "*" for k in (4, 5, 6, 7) if len(word) >= k)]
+    return [word, *(word[:k] + "*" for k in (4, 5, 6, 7) if len(word) >= k)]
+
+
+def _places(text: str | None) -> Iterator[tuple[str, int, bool]]:
+    """(word, hash of its neighbours, whether a target comes close behind it in its clause) of each word."""
+    tokens = _TOKEN((text or "").lower())
+    w = [(k, t) for k, t in enumerate(tokens) if t not in _STOPS]
+    near = -1  # words left from which a target is in reach, read from the right
+    aimed = []
+    for t in reversed(tokens):
+        if t in _STOPS:
+            near = -1
+            continue
+        aimed.append(near > 0)
+        near = REACH if t in _AIMS else near - 1
+    aimed.reverse()
+    for n, (_, word) in enumerate(w):
+        before, after = w[n - 1][1] if n else "", w[n + 1][1] if n + 1 < len(w) else ""
+        yield word, zlib.crc32(f"{before} {after}".encode()), aimed[n]
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lexeme, context): neighbours of the words of toxic documents, PER_DOCUMENT of each lexeme and document."""
+    """(lexeme, context, aimed): neighbours of the words of toxic documents, PER_DOCUMENT of each lexeme and document."""
     for batch in batches:
-        pairs = set()
+        pairs: dict[tuple[str, int], bool] = {}
         for text in batch.column("text").to_pylist():
-            w = [t for t in _TOKEN((text or "").lower()) if t not in _STOPS]
-            own: dict[str, set[int]] = {}
-            for before, word, after in zip(["", *w], w, [*w[1:], ""], strict=False):
-                context = zlib.crc32(f"{before} {after}".encode())
+            own: dict[str, dict[int, bool]] = {}
+            for word, context, aimed in _places(text):
                 for lexeme in _lexemes(word):
-                    if len(had := own.setdefault(lexeme, set())) < PER_DOCUMENT:
-                        had.add(context)
-            pairs.update((k, c) for k, had in own.items() for c in had)
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.int64())], ["lexeme", "context"])
+                    had = own.setdefault(lexeme, {})
+                    if context in had or len(had) < PER_DOCUMENT:
+                        had[context] = had.get(context, False) or aimed
+            for k, had in own.items():
+                for c, aimed in had.items():
+                    pairs[k, c] = pairs.get((k, c), False) or aimed
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.int64()), pa.array(list(pairs.values()), pa.bool_())], ["lexeme", "context", "aimed"])
 
 
 def _elsewhere(candidates: frozenset):
+    """(lexeme, n, aimed): occurrences in documents that are not toxic, PER_DOCUMENT of each lexeme and document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: Counter = Counter()
+            aims: Counter = Counter()
             for text in batch.column("text").to_pylist():
                 own: Counter = Counter()
+                aimed: Counter = Counter()
                 for word, n in Counter(_TOKEN((text or "").lower())).items():
                     for lexeme in _lexemes(word):
                         if lexeme in candidates:
                             own[lexeme] += n
+                if own:
+                    for word, _, aim in _places(text):
+                        if aim:
+                            aimed.update(x for x in _lexemes(word) if x in own)
                 counts.update({k: min(n, PER_DOCUMENT) for k, n in own.items()})
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["lexeme", "n"])
+                aims.update({k: min(n, PER_DOCUMENT) for k, n in aimed.items()})
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64()), pa.array([aims[k] for k in counts], pa.int64())], ["lexeme", "n", "aimed"])
 
     return run
 
@@ -203,18 +285,33 @@ def _label_counts(model: Model):
     return run
 
 
-def _choose(support: dict[str, int], elsewhere: dict[str, int]) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and stems that are precise. A stem must be productive (three precise words have it), or stay precise without its precise words."""
-    part = lambda n, other: n / (n + other + 0.5)
-    kept = sorted((k for k, n in support.items() if part(n, elsewhere.get(k, 0)) >= LEAST_PRECISION), key=lambda k: (-support[k], k))[:MOST_LEXEMES]
-    words = {k: part(support[k], elsewhere.get(k, 0)) for k in kept if k[-1] != "*"}
+def _part(n: int, other: int) -> float:
+    return n / (n + other + 0.5)
+
+
+def _choose(support: dict[str, tuple[int, int]], elsewhere: dict[str, tuple[int, int]]) -> tuple[dict[str, tuple[str, float]], dict[str, tuple[str, float]]]:
+    """Words and stems that are precise, each with its class. A stem must be productive (three precise words have it), or stay precise
+    without its precise words. support and elsewhere: (occurrences, aimed ones) of each lexeme."""
+    none = (0, 0)
+    kept: dict[str, tuple[str, float]] = {}
+    for k, (n, aimed) in support.items():
+        other, other_aimed = elsewhere.get(k, none)
+        if _part(n, other) >= LEAST_PRECISION:
+            kept[k] = ("threat" if aimed >= AIMED * n else "insult", _part(n, other))
+        elif aimed >= LEAST_CONTEXTS and _part(aimed, other_aimed) >= LEAST_PRECISION:
+            kept[k] = ("threat", _part(aimed, other_aimed))
+    words = {k: v for k, v in kept.items() if k[-1] != "*"}
+    under: dict[str, list[str]] = {}
+    for w in words:
+        for stem in _lexemes(w)[1:]:
+            under.setdefault(stem, []).append(w)
     stems = {}
-    for k in kept:
+    for k, v in kept.items():
         if k[-1] == "*":
-            under = [w for w in words if w.startswith(k[:-1])]
-            rest, other = support[k] - sum(support[w] for w in under), elsewhere.get(k, 0) - sum(elsewhere.get(w, 0) for w in under)
-            if len(under) >= 3 or rest >= LEAST_CONTEXTS and part(rest, max(0, other)) >= LEAST_PRECISION:
-                stems[k[:-1]] = part(support[k], elsewhere.get(k, 0))
+            own = under.get(k, [])
+            rest, other = support[k][0] - sum(support[w][0] for w in own), elsewhere.get(k, none)[0] - sum(elsewhere.get(w, none)[0] for w in own)
+            if len(own) >= 3 or rest >= LEAST_CONTEXTS and _part(rest, max(0, other)) >= LEAST_PRECISION:
+                stems[k[:-1]] = v
     return words, stems
 
 
@@ -225,43 +322,37 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     total = usable.count()
     if not total:
         return Model()
-    share = min(1.0, fit_rows / total)
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < int(share * 1_000_000))
+    chosen = usable.where(sample_hash("fit", "doc_id") < sample_threshold(fit_rows, total))
     sample = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id"), "toxic-fit")  # bounded by fit_rows
     bad, good = sample.where("toxic = 1"), sample.where("toxic = 0")
-    contexts = bad.select("text").mapInArrow(_contexts, "lexeme string, context long").distinct().groupBy("lexeme").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_CONTEXTS)
-    support = {r["lexeme"]: r["n"] for r in contexts.orderBy(F.desc("n"), "lexeme").limit(MOST_LEXEMES * 5).collect()}
-    other = good.select("text").mapInArrow(_elsewhere(frozenset(support)), "lexeme string, n long").groupBy("lexeme").agg(F.sum("n").alias("n"))
-    elsewhere = {r["lexeme"]: r["n"] for r in other.collect()} if support else {}
+    contexts = bad.select("text").mapInArrow(lean(_contexts), "lexeme string, context long, aimed boolean").groupBy("lexeme", "context").agg(F.max("aimed").alias("aimed"))
+    contexts = contexts.groupBy("lexeme").agg(F.count("*").alias("n"), F.count_if("aimed").alias("aimed")).where(F.col("n") >= LEAST_CONTEXTS)
+    support = {r["lexeme"]: (r["n"], r["aimed"]) for r in contexts.collect()}  # from the toxic rows of the sample alone
+    other = good.select("text").mapInArrow(lean(_elsewhere(frozenset(support))), "lexeme string, n long, aimed long").groupBy("lexeme").agg(F.sum("n").alias("n"), F.sum("aimed").alias("aimed"))
+    elsewhere = {r["lexeme"]: (r["n"], r["aimed"]) for r in other.collect()} if support else {}
     model = Model(*_choose(support, elsewhere))
-    counts = {(r["label"], r["toxic"]): r["n"] for r in sample.select("text", "toxic").mapInArrow(_label_counts(model), "label string, toxic int, n long").groupBy("label", "toxic").agg(F.sum("n").alias("n")).collect()}
+    counts = {(r["label"], r["toxic"]): r["n"] for r in sample.select("text", "toxic").mapInArrow(lean(_label_counts(model)), "label string, toxic int, n long").groupBy("label", "toxic").agg(F.sum("n").alias("n")).collect()}
     shrink = lambda label, prior: (counts.get((label, 1), 0) + 10 * prior) / (counts.get((label, 1), 0) + counts.get((label, 0), 0) + 10)
     model.labels = {k: shrink(k, p) for k, p in _PATH.items()}
     model.unmatched = min(0.25, shrink("none", 0.05))
+    drop_tables(sample)
     return model
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Short batches, so that few texts are Python strings at a time."""
-    for whole in batches:
-        for at in range(0, whole.num_rows, rows):
-            yield whole.slice(at, rows)
-
-
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: doc_id, score, n_clauses matched, labels (paths of the matched clauses), words."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = model.classes()
-        for batch in _slices(batches):
+        for batch in batches:
             found = [reader.matches(t) if t else [] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(np.array([reader.score(m) for m in found], dtype=float)), pa.array([len(m) for m in found], pa.int64()), pa.array([[x[0] for x in m] for m in found], pa.list_(pa.string())), pa.array([[x[2] for x in m] for m in found], pa.list_(pa.string()))],
                 ["doc_id", "score", "n_clauses", "labels", "words"],
             )
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, score double, n_clauses long, labels array<string>, words array<string>")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), f"doc_id {kind}, score double, n_clauses long, labels array<string>, words array<string>")
 
 
 def remove_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -269,7 +360,7 @@ def remove_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = model.classes()
-        for batch in _slices(batches):
+        for batch in batches:
             yield batch.filter(pa.array([reader.score(reader.matches(t) if t else []) < threshold for t in batch.column(text).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
