@@ -16,10 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped, materialize
+from .common import drop_tables, grouped, lean, materialize
 from .components import connected_components
 from .jaccard_join import _block_pairs, _local_components
 
@@ -72,28 +72,45 @@ def _tiles(threshold: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = 0.98, tile: int = 1024) -> DataFrame:
-    """Per row of vectors: vec_id, n_links, component_id, kept."""
+def _identity(label: Column, embedding: Column) -> list[Column]:
+    """(h1, h2): 128 bits that tell vectors of a label apart; null for those that link with nothing."""
+    good = ~F.exists(embedding, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))) & F.exists(embedding, lambda x: x != 0)
+    plain = F.transform(embedding, lambda x: x + F.lit(0.0))  # one zero
+    usable = label.isNotNull() & F.coalesce(good, F.lit(False))
+    return [F.when(usable, F.xxhash64(label, plain)).alias("h1"), F.when(usable, F.xxhash64(F.lit("second"), plain, label)).alias("h2")]
+
+
+def _near_duplicates(vectors: DataFrame, vec_id: str, embedding: str, label: str, threshold: float = 0.98, tile: int = 1024) -> DataFrame:
+    """near_duplicates() with h1 and h2."""
     v = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"), F.col(label).alias("label"))
-    good = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
-    v = v.withColumn("node", F.when(F.col("label").isNotNull() & F.coalesce(good, F.lit(False)), F.xxhash64(F.col("label"), F.transform("embedding", lambda x: x + F.lit(0.0)))))
-    v = v.withColumn("dims", F.size("embedding"))
-    nodes = materialize(v.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("weight"), F.first("embedding").alias("embedding"), F.first("label").alias("label"), F.first("dims").alias("dims")), "vectors")
+    v = v.select("vec_id", "embedding", "label", *_identity(F.col("label"), F.col("embedding")))
+    # Classes of equal vectors; in the written table each has a number of its own.
+    nodes = v.where("h1 is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("weight"), F.first("embedding").alias("embedding"), F.first("label").alias("label"))
+    nodes = materialize(nodes.withColumn("dims", F.size("embedding")).withColumn("node", F.monotonically_increasing_id()), "vectors")
     sizes = nodes.groupBy("label", "dims").agg(F.count("*").alias("size"))
-    dealt = _block_pairs(nodes.join(sizes.hint("merge"), ["label", "dims"]), "size", tile, "node").select("label", "dims", "i", "j", F.col("_mine").alias("mine"), "node", "weight", "embedding")
-    kind = nodes.schema["node"].dataType.simpleString()
-    links = materialize(dealt.repartition("label", "dims", "i", "j").sortWithinPartitions("label", "dims", "i", "j").mapInArrow(_tiles(threshold), f"node {kind}, root {kind}, links long"), "vector-links")
+    dealt = _block_pairs(nodes.select("node", "weight", "embedding", "label", "dims").join(sizes.hint("merge"), ["label", "dims"]), "size", tile, "node").select("label", "dims", "i", "j", F.col("_mine").alias("mine"), "node", "weight", "embedding")
+    links = dealt.repartition("label", "dims", "i", "j").sortWithinPartitions("label", "dims", "i", "j").mapInArrow(lean(_tiles(threshold), whole=True), "node long, root long, links long")
+    links = materialize(links, "vector-links")
     found = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")), label="vectors")
     total = links.groupBy("node").agg(F.sum("links").alias("links"))
-    info = nodes.select("node", "first_id", "weight").join(total.hint("merge"), "node", "left").join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    info = nodes.select("node", "h1", "h2", "first_id", "weight").join(total.hint("merge"), "node", "left").join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     firsts = info.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    info = info.join(firsts.hint("merge"), "component").select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"))
-    out = v.select("vec_id", "node").join(info.hint("merge"), "node", "left")
+    info = materialize(info.join(firsts.hint("merge"), "component").select("node", "h1", "h2", "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links")), "linked")
+    drop_tables(nodes, links)
+    out = v.select("vec_id", "h1", "h2").join(info.hint("merge"), ["h1", "h2"], "left")
     component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"), "h1", "h2")
+
+
+def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", **options) -> DataFrame:
+    """Per row of vectors: vec_id, n_links, component_id, kept. Options: threshold, tile (vectors compared in one task, by pairs of tiles)."""
+    return _near_duplicates(vectors, vec_id, embedding, label, **options).drop("h1", "h2")
 
 
-def keep_one(vectors: DataFrame, vec_id: str = "vec_id", **options) -> DataFrame:
-    """Rows of vectors, all columns, whose id is the smallest of its component (or null)."""
-    gone = near_duplicates(vectors, vec_id=vec_id, **options).where("not kept").select(F.col("vec_id").alias("_gone")).distinct()
-    return vectors.join(gone, F.col(vec_id) == F.col("_gone"), "left_anti")
+def keep_one(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", **options) -> DataFrame:
+    """Rows of vectors, all columns, whose id is the smallest of its component (or null). A row goes by its id and vector: another
+    vector under the same id stays or goes for itself."""
+    gone = _near_duplicates(vectors, vec_id, embedding, label, **options).where("not kept").select(F.col("vec_id").alias("_gone"), F.col("h1").alias("_g1"), F.col("h2").alias("_g2")).distinct()
+    one, two = _identity(F.col(label), F.col(embedding).cast("array<double>"))
+    same = (F.col(vec_id) == F.col("_gone")) & (F.col("_h1") == F.col("_g1")) & (F.col("_h2") == F.col("_g2"))
+    return vectors.withColumn("_h1", one).withColumn("_h2", two).join(gone, same, "left_anti").drop("_h1", "_h2")

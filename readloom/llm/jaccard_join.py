@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import drop_tables, grouped, materialize, mix64, prefix_hash, shingle_hashes, text_bytes, window_hash, word_hashes
+from .common import drop_tables, grouped, lean, materialize, mix64, prefix_hash, shingle_hashes, text_bytes, text_hash, window_hash, word_hashes
 from .components import connected_components
 
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, size=512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -43,18 +43,22 @@ def choose_bands(threshold: float, recall: float, most_hashes: int = 192) -> tup
     return best
 
 
+def _identity(words: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of runs of words."""
+    return window_hash(prefix_hash(words), begins, ends).view(np.int64), window_hash(prefix_hash(mix64(words ^ _SEEDS[511])), begins, ends).view(np.int64)
+
+
 def _featurize(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+        for batch in batches:
+            if batch.num_rows:
                 raw, offsets = text_bytes(batch.column("text"))
                 words, bounds = word_hashes(raw, offsets)
                 shingles, sb = shingle_hashes(words, bounds, width)
                 full = np.flatnonzero(np.diff(sb))
                 n = len(bounds) - 1
-                node = np.zeros(n, dtype=np.int64)
-                node[full] = window_hash(prefix_hash(words), bounds[:-1][full], bounds[1:][full]).view(np.int64)
+                h1, h2 = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+                h1[full], h2[full] = _identity(words, bounds[:-1][full], bounds[1:][full])
                 least = np.empty((len(full), bands * rows), dtype=np.uint64)
                 if len(full):
                     starts = sb[:-1][full]
@@ -75,8 +79,8 @@ def _featurize(width: int, bands: int, rows: int):
                 for i, row in zip(full.tolist(), sig, strict=True):
                     sigs[i] = row.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(node, mask=none), pa.array(np.diff(sb).astype(np.int64)), pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(lists))).astype(np.int32), pa.array(band.view(np.int64).ravel())), pa.array(sigs, pa.binary())],
-                    ["doc_id", "node", "n_shingles", "bands", "sig"],
+                    [*(batch.column(c) for c in ("doc_id", "_t", "_t2")), pa.array(h1, mask=none), pa.array(h2, mask=none), pa.array(np.diff(sb).astype(np.int64)), pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(lists))).astype(np.int32), pa.array(band.view(np.int64).ravel())), pa.array(sigs, pa.binary())],
+                    ["doc_id", "_t", "_t2", "h1", "h2", "n_shingles", "bands", "sig"],
                 )
 
     return run
@@ -174,7 +178,7 @@ def _propose(nodes: DataFrame, connect: float, block: int) -> DataFrame:
     multi = members.join(counts.hint("merge"), "bh").join(nodes.select("node", "sig").hint("merge"), "node").select("bh", "node", "sig", "n")
     multi = materialize(multi, "buckets")
     small = multi.where(F.col("n") <= block).select("bh", "node", "sig")
-    edges = [small.repartition("bh").sortWithinPartitions("bh", "node").mapInArrow(_small_buckets(connect, block), "a long, b long")]
+    edges = [small.repartition("bh").sortWithinPartitions("bh", "node").mapInArrow(lean(_small_buckets(connect, block), whole=True), "a long, b long")]
     rest = multi.where(F.col("n") > block).select("bh", "node", "sig")
     for _ in range(4):
         if rest.isEmpty():
@@ -187,7 +191,7 @@ def _propose(nodes: DataFrame, connect: float, block: int) -> DataFrame:
         rest = seen.where((F.col("est") < LEADER) & (F.col("node") != F.col("leader"))).select("bh", "node", "sig")
     sizes = rest.groupBy("bh").agg(F.count("*").alias("n")).where("n > 1")
     dealt = _block_pairs(rest.join(sizes.hint("merge"), "bh"), "n", block, "node").select("bh", "i", "j", "node", "sig")
-    edges.append(dealt.repartition("bh", "i", "j").sortWithinPartitions("bh", "i", "j", "node").mapInArrow(_block_buckets(connect), "a long, b long"))
+    edges.append(dealt.repartition("bh", "i", "j").sortWithinPartitions("bh", "i", "j", "node").mapInArrow(lean(_block_buckets(connect), whole=True), "a long, b long"))
     out = edges[0]
     for e in edges[1:]:
         out = out.unionAll(e)
@@ -198,16 +202,14 @@ def _shingle_sets(width: int):
     """Texts to sorted distinct shingle hashes; rows whose text is not the class's (an id that two texts share) go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                words, bounds = word_hashes(*text_bytes(batch.column("text")))
-                shingles, sb = shingle_hashes(words, bounds, width)
-                own = window_hash(prefix_hash(words), bounds[:-1], bounds[1:]).view(np.int64)
-                fits = own == np.asarray(batch.column("node"))
-                sets = [np.unique(shingles[sb[k] : sb[k + 1]]).tobytes() if fits[k] else None for k in range(batch.num_rows)]
-                keep = pa.array(fits)
-                yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("node", "comp", "size", "weight")] + [pa.array(sets, pa.binary()).filter(keep)], ["node", "comp", "size", "weight", "set"])
+        for batch in batches:
+            words, bounds = word_hashes(*text_bytes(batch.column("text")))
+            shingles, sb = shingle_hashes(words, bounds, width)
+            h1, h2 = _identity(words, bounds[:-1], bounds[1:])
+            fits = (h1 == np.asarray(batch.column("h1"))) & (h2 == np.asarray(batch.column("h2")))
+            sets = [np.unique(shingles[sb[k] : sb[k + 1]]).tobytes() if fits[k] else None for k in range(batch.num_rows)]
+            keep = pa.array(fits)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("node", "comp", "size", "weight")] + [pa.array(sets, pa.binary()).filter(keep)], ["node", "comp", "size", "weight", "set"])
 
     return run
 
@@ -254,48 +256,64 @@ def _decide(threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.9999, block: int = 96, most_hashes: int = 192) -> DataFrame:
-    """Per row of docs: doc_id, class_id, n_links (other rows at or above the threshold), n_shingles, node (hash of its words)."""
+def _near_duplicates(docs: DataFrame, doc_id: str, text: str, width: int = 5, threshold: float = 0.8, recall: float = 0.9999, block: int = 96, most_hashes: int = 192) -> DataFrame:
+    """near_duplicates() with the texts' hashes (_t, _t2) and the component, which names a class whatever its ids are."""
     bands, rows = choose_bands(threshold, recall, most_hashes)
     kind = docs.schema[doc_id].dataType.simpleString()
-    plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    marked = materialize(plain.mapInArrow(_featurize(width, bands, rows), f"doc_id {kind}, node long, n_shingles long, bands array<long>, sig binary"), "minhash")
-    nodes = materialize(marked.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("weight"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
+    plain = docs.select(F.col(doc_id).alias("doc_id"), *text_hash(F.col(text)), F.col(text).alias("text"))
+    marked = materialize(plain.mapInArrow(lean(_featurize(width, bands, rows)), f"doc_id {kind}, _t long, _t2 int, h1 long, h2 long, n_shingles long, bands array<long>, sig binary"), "minhash")
+    # Classes of equal words, told apart by 128 bits; in the written table each has a number of its own.
+    nodes = marked.where("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("weight"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "classes")
     connect = threshold - CONNECT_BELOW
     groups = connected_components(_propose(nodes, connect, block), label="candidates")
     groups = materialize(groups.withColumnRenamed("component", "comp"), "groups")
     sizes = groups.groupBy("comp").agg(F.count("*").alias("size"))
-    wanted = groups.join(sizes.hint("merge"), "comp").join(nodes.select("node", "first_id", "weight").hint("merge"), "node")
-    texts = plain.where("doc_id is not null").join(wanted.where("first_id is not null").hint("merge"), F.col("doc_id") == F.col("first_id")).select("node", "comp", "size", "weight", "text")
+    wanted = groups.join(sizes.hint("merge"), "comp").join(nodes.select("node", "h1", "h2", "first_id", "weight").hint("merge"), "node")
+    texts = plain.where("doc_id is not null").join(wanted.where("first_id is not null").hint("merge"), F.col("doc_id") == F.col("first_id")).select("node", "h1", "h2", "comp", "size", "weight", "text")
     unnamed = wanted.where("first_id is null")
     if not unnamed.isEmpty():  # classes all of whose ids are null: their texts are found by hash
-        hashed = plain.where("doc_id is null").mapInArrow(_with_node, "node long, text string").dropDuplicates(["node"]).join(unnamed.hint("merge"), "node")
-        texts = texts.unionAll(hashed.select("node", "comp", "size", "weight", "text"))
-    sets = texts.mapInArrow(_shingle_sets(width), "node long, comp long, size long, weight long, set binary")
+        hashed = plain.where("doc_id is null").select("text").mapInArrow(lean(_with_hashes), "h1 long, h2 long, text string").dropDuplicates(["h1", "h2"]).join(unnamed.hint("merge"), ["h1", "h2"])
+        texts = texts.unionAll(hashed.select("node", "h1", "h2", "comp", "size", "weight", "text"))
+    sets = texts.mapInArrow(lean(_shingle_sets(width)), "node long, comp long, size long, weight long, set binary")
     dealt = _block_pairs(sets, "size", block, "node").select("comp", "i", "j", F.col("_mine").alias("mine"), "node", "weight", "set")
-    decided = dealt.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_decide(threshold), "node long, root long, links long")
+    decided = dealt.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(lean(_decide(threshold), whole=True), "node long, root long, links long")
     decided = materialize(decided, "links")
     final = connected_components(decided.select(F.col("node").alias("a"), F.col("root").alias("b")), label="classes")
     links = decided.groupBy("node").agg(F.sum("links").alias("links"))
-    info = nodes.select("node", "first_id", "weight").join(links.hint("merge"), "node", "left").join(final.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    info = nodes.select("node", "h1", "h2", "first_id", "weight").join(links.hint("merge"), "node", "left").join(final.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     firsts = info.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    info = materialize(info.join(firsts.hint("merge"), "component").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links")), "classed")
+    info = info.join(firsts.hint("merge"), "component").select("node", "h1", "h2", "component", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"))
+    info = materialize(info, "classed")
     drop_tables(decided, groups, nodes)
-    out = marked.select("doc_id", "node", "n_shingles").join(info.hint("merge"), "node", "left")
-    return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_shingles", "node")
+    out = marked.select("doc_id", "_t", "_t2", "h1", "h2", "n_shingles").join(info.hint("merge"), ["h1", "h2"], "left")
+    class_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
+    return out.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_shingles", "node", "component", "_t", "_t2")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """Per row of docs: doc_id, class_id, n_links (other rows at or above the threshold), n_shingles, node (number of its class of equal words).
+
+    Options: width, threshold, recall, block (members compared in one task), most_hashes."""
+    return _near_duplicates(docs, doc_id, text, **options).drop("component", "_t", "_t2")
 
 
-def _with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _with_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words, bounds = word_hashes(*text_bytes(batch.column("text")))
-        yield pa.RecordBatch.from_arrays([pa.array(window_hash(prefix_hash(words), bounds[:-1], bounds[1:]).view(np.int64)), batch.column("text")], ["node", "text"])
+        h1, h2 = _identity(words, bounds[:-1], bounds[1:])
+        yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), batch.column("text")], ["h1", "h2", "text"])
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Rows of docs, all columns, with one document of each class: that with the smallest id. Of repeated rows (same id, same
-    text) one stays; rows with null ids stay."""
-    found = near_duplicates(docs, doc_id=doc_id, text=text, **options)
-    flags = found.where("n_links > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("doc_id") == F.col("class_id")).alias("_head"))
-    joined = docs.join(flags.hint("merge"), F.col(doc_id) == F.col("_id"), "left")
-    nth = F.row_number().over(W.partitionBy(doc_id, F.xxhash64(text)).orderBy(doc_id))
-    return joined.withColumn("_nth", F.when(F.col("_id").isNull(), 1).otherwise(nth)).where("_id is null or (_head and _nth = 1)").drop("_id", "_head", "_nth")
+    """Rows of docs, all columns, with one document of each class: that with the smallest id (of its texts under this id, that with
+    the least hash). Of repeated rows (same id, same text) one stays; rows with null ids stay, and so does a text that resembles
+    nothing, whatever other texts share its id."""
+    found = materialize(_near_duplicates(docs, doc_id, text, **options).where("n_links > 0 and doc_id is not null").groupBy("doc_id", "_t", "_t2").agg(F.first("component").alias("component"), F.first("class_id").alias("class_id")), "linked")
+    heads = found.where("doc_id = class_id").groupBy("component").agg(F.min(F.struct("doc_id", "_t", "_t2")).alias("head"))
+    flags = found.join(heads.hint("merge"), "component", "left").select(F.col("doc_id").alias("_id"), "_t", "_t2", F.coalesce(F.struct("doc_id", "_t", "_t2") == F.col("head"), F.lit(False)).alias("_head"))
+    one, two = text_hash(F.col(text))
+    same = (F.col(doc_id) == F.col("_id")) & (F.col("_d") == F.col("_t")) & (F.col("_d2") == F.col("_t2"))
+    joined = docs.withColumn("_d", one).withColumn("_d2", two).join(flags.hint("merge"), same, "left")
+    nth = F.row_number().over(W.partitionBy(doc_id, "_d", "_d2").orderBy("_id"))
+    return joined.withColumn("_nth", F.when(F.col("_id").isNull(), 1).otherwise(nth)).where("_id is null or (_head and _nth = 1)").drop("_id", "_head", "_nth", "_d", "_d2", "_t", "_t2")
