@@ -21,18 +21,24 @@ from readloom.sources import readers, sinks
 P = MATCHING["default"]
 
 
-def events(read, isoform, known=()):
-    """Events without terminal ones; chains are block lists."""
-    chain = lambda b: K.Chain([(x[1] + 1, y[0] - 1) for x, y in zip(b, b[1:], strict=False)], (b[0][0], b[-1][1]))
-    return [e["event"] for e in K.compare(chain(read), chain(isoform), set(known), P) if not e["event"].startswith("terminal_site")]
+IV = "struct<s:bigint,e:bigint>"
+
+
+def gaps(blocks):
+    return [(x[1] + 1, y[0] - 1) for x, y in zip(blocks, blocks[1:], strict=False)]
+
+
+def all_events(spark, rows):
+    """Events of (read blocks, isoform blocks, known introns), a list for each row."""
+    data = [(k, gaps(r), (r[0][0], r[-1][1]), gaps(i), (i[0][0], i[-1][1]), list(known)) for k, (r, i, known) in enumerate(rows)]
+    df = spark.createDataFrame(data, f"id int, introns array<{IV}>, span {IV}, tx_introns array<{IV}>, tx_span {IV}, known array<{IV}>")
+    return [[e.event for e in r.events] for r in sorted(K.with_events(df).collect(), key=lambda r: r.id)]
 
 
 ISO = [(1000, 1200), (2000, 2200), (3000, 3300), (4000, 4300)]
 
 
-@pytest.mark.parametrize(
-    ("read", "known", "expected"),
-    [
+CASES = [
         (ISO, (), ["fsm"]),
         ([(1003, 1198), (2002, 2200), (3000, 3300), (4000, 4295)], (), ["fsm"]),
         ([(2050, 2200), (3000, 3300), (4000, 4300)], (), ["ism_left"]),
@@ -51,19 +57,59 @@ ISO = [(1000, 1200), (2000, 2200), (3000, 3300), (4000, 4300)]
         ([(1050, 1150)], (), ["mono_exonic"]),
         ([(1050, 2100)], (), ["unspliced_intron_retention"]),
         ([(1100, 1400)], (), ["incomplete_intron_retention_right"]),
-    ],
-)
-def test_junction_events(read, known, expected):
-    assert events(read, ISO, known) == expected
+]
 
 
-def test_mono_exon_and_ends():
-    one = K.Chain([], (100, 500))
-    assert [e["event"] for e in K.compare(K.Chain([], (103, 480)), one, set(), P)] == ["mono_exon_match", "terminal_site_match_left_precise", "terminal_site_match_right"]
-    got = [e["event"] for e in K.compare(K.Chain([], (20, 530)), one, set(), P)]
-    assert got == ["mono_exon_match", "major_exon_elongation_left", "terminal_site_match_right", "exon_elongation_right"]
-    assert K.polya_events("+", 480, 500, P) == "correct_polya_site_right" and K.polya_events("+", 700, 500, P) == "alternative_polya_site_right"
-    assert K.polya_events("-", 300, 100, P) == "internal_polya_left" and K.polya_events("+", None, 500, P) is None
+def test_junction_events(spark):
+    found = all_events(spark, [(read, ISO, known) for read, known, _ in CASES])
+    for (read, known, expected), got in zip(CASES, found, strict=True):
+        assert [e for e in got if not e.startswith("terminal_site")] == expected, (read, known)
+
+
+def test_mono_exon_and_ends(spark):
+    near, far = all_events(spark, [([(103, 480)], [(100, 500)], ()), ([(20, 530)], [(100, 500)], ())])
+    assert near == ["mono_exon_match", "terminal_site_match_left_precise", "terminal_site_match_right"]
+    assert far == ["mono_exon_match", "major_exon_elongation_left", "terminal_site_match_right", "exon_elongation_right"]
+
+
+@pytest.mark.parametrize(
+    ("blocks", "tail", "inner", "events", "expected"),
+    [
+        ([(1000, 1200), (2000, 2290)], 2291, None, ["fsm", "exon_elongation_right"], ["fsm", "correct_polya_site_right"]),
+        ([(1000, 1200), (2000, 2700)], 2701, None, ["fsm", "major_exon_elongation_right"], ["fsm", "alternative_polya_site_right"]),
+        ([(1000, 1200), (2000, 2100)], 2101, None, ["fsm"], ["fsm", "alternative_polya_site_right"]),
+        ([(1000, 1260)], None, 1255, ["incomplete_intron_retention_right"], ["incomplete_intron_retention_right", "internal_polya_right"]),
+        ([(1000, 1200), (2000, 2300), (2900, 2920)], 2921, None, ["fake_terminal_exon_right"], ["fake_terminal_exon_right", "correct_polya_site_right"]),
+        ([(1000, 1200), (2000, 2300)], None, None, ["fsm"], ["fsm"]),
+    ],
+)
+def test_tails(spark, blocks, tail, inner, events, expected):
+    """The + case and its mirror image on -."""
+    isoform, at = [(1000, 1200), (2000, 2300)], 10_000
+    e = lambda *n: [(x, -1, -1, -1, -1, 0) for x in n]
+    flip = lambda bs: [(at - b, at - a) for a, b in bs][::-1]
+    swap = lambda names: [n.replace("right", "left") for n in names]
+    mirror = lambda x: None if x is None else at - x
+    rows = [(1, "+", blocks, isoform, tail, inner, e(*events)), (2, "-", flip(blocks), flip(isoform), mirror(tail), mirror(inner), e(*swap(events)))]
+    df = spark.createDataFrame(rows, f"id int, strand string, blocks array<{IV}>, exons array<{IV}>, tail bigint, inner_tail bigint, events {K.EVENT_TYPE}")
+    got = {r.id: [x.event for x in r.events] for r in K.verify_tails(df).collect()}
+    assert got[1] == expected and got[2] == swap(expected)
+
+
+def test_missed_terminal_exon(spark):
+    rows = [(1, "+", [(1000, 1200)], [(1000, 1200), (2000, 2030)], 1225, None, [("ism_right", -1, -1, -1, -1, 0)])]
+    df = spark.createDataFrame(rows, f"id int, strand string, blocks array<{IV}>, exons array<{IV}>, tail bigint, inner_tail bigint, events {K.EVENT_TYPE}")
+    assert [x.event for x in K.verify_tails(df).head().events] == ["ism_right", "terminal_exon_misalignment_right", "correct_polya_site_right"]
+
+
+def test_names_by_strand_and_matching(spark):
+    want = {("exon_elongation_left", "+"): "exon_elongation_5", ("exon_elongation_left", "-"): "exon_elongation_3", ("terminal_site_match_right_precise", "-"): "tss_match_precise", ("terminal_site_match_left", "."): "terminal_position_match",
+            ("alt_left_site_novel", "+"): "alt_donor_site_novel", ("alt_left_site_known", "-"): "alt_acceptor_site_known", ("fsm", "-"): "fsm", ("ism_left", "."): "ism", ("ism_internal", "+"): "ism_internal", ("extra_intron_flanking_right", "+"): "extra_intron_3", ("correct_polya_site_right", "+"): "correct_polya_site_right"}
+    rows = spark.createDataFrame(list(want), "e string, s string")
+    assert {(r.e, r.s): r.n for r in rows.select("e", "s", K.strand_name(F.col("e"), F.col("s")).alias("n")).collect()} == want
+    kinds = spark.createDataFrame([("unique", ["intron_retention"]), ("unique_minor_difference", ["fsm", "intron_shift"]), ("unique_minor_difference", ["fake_terminal_exon_left"]), ("ambiguous", ["fsm"])], "k string, n array<string>")
+    found = kinds.select(K.is_matching(F.col("k"), F.transform("n", lambda x: F.struct(x.alias("event")))).alias("m"))
+    assert [r.m for r in found.collect()] == [True, True, False, False]
 
 
 def test_assignment_types(spark):

@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from readloom.plans import ORACLES, QUERIES
@@ -21,7 +22,7 @@ def duck():
 
 def plain(frame):
     def one(v):
-        if v is None or v != v:
+        if not isinstance(v, (list, tuple, dict)) and not hasattr(v, "shape") and pd.isna(v):
             return None
         if isinstance(v, bool):
             return v
