@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .ordering import numbered
+
 #: What each strategy counts: (ambiguous reads, minor inconsistencies, inconsistent reads, only full matches).
 STRATEGIES = {
     "unique_only": (False, False, False, False),
@@ -115,7 +117,7 @@ def matrix(counts: DataFrame, feature: str, group: str, values: list[str], value
 
 def matrix_market(counts: DataFrame, feature: str, group: str) -> DataFrame:
     """(row, column, count) with dense ids from 1 in sorted order. Ids come from the distinct names, not from the entries."""
-    ids = lambda c, name: counts.select(c).distinct().withColumn(name, F.row_number().over(W.orderBy(c)))
+    ids = lambda c, name: numbered(counts.select(c).distinct(), [c], name).withColumn(name, F.col(name).cast("int"))
     return counts.where("count != 0").join(ids(feature, "row"), feature).join(ids(group, "column"), group).select("row", "column", "count")
 
 

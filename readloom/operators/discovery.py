@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,7 +11,9 @@ from pyspark.sql import Window as W
 
 from ..functions import intervals as I
 from ..params import DISCOVERY, Discovery
-from .lineage import cut
+from .components import components
+from .ordering import sweep
+from .regions import islands, point_join
 
 
 def count_introns(introns: DataFrame) -> DataFrame:
@@ -26,9 +30,7 @@ def intron_edges(reads: DataFrame) -> DataFrame:
 
 def loci(introns: DataFrame, gap: int) -> DataFrame:
     """Numbers groups of introns whose starts lie within gap of each other: greedy steps never reach across."""
-    order = W.partitionBy("chr").orderBy("s", "e")
-    new = F.when(F.col("s") - F.lag("s").over(order) <= gap, 0).otherwise(1)
-    return introns.withColumn("_new", new).withColumn("locus", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+    return sweep(introns.withColumn("_s", F.col("s")), ["chr"], "s", "_s", gap, "locus").drop("_s")
 
 
 def cluster_introns(counts: DataFrame, known: DataFrame, delta: int, least: int) -> DataFrame:
@@ -74,41 +76,37 @@ def isolated(vertices: DataFrame, edges: DataFrame, p: Discovery = DISCOVERY["de
     return loci(vertices, 1000).withColumn("_top", top).join(alone.select("chr", "s", "e"), ["chr", "s", "e"], "left_semi").where((F.col("n") < p.min_novel_isolated_intron_abs) | (F.col("n") < p.min_novel_isolated_intron_rel * F.col("_top"))).select("chr", "s", "e")
 
 
-def graph_components(chains: DataFrame, rounds: int = 12) -> DataFrame:
-    """(chr, s, e, component) of introns that share a read or transcript, by spreading the smallest id; chains hold introns and chr."""
-    vid = F.xxhash64("chr", "i.s", "i.e")
-    members = chains.where(F.size("introns") > 0).select("chr", F.xxhash64("introns", "chr").alias("chain"), F.explode("introns").alias("i")).select("chr", "chain", "i.s", "i.e", vid.alias("v")).distinct()
-    label = members.select("v", F.col("v").alias("component")).distinct()
-    links = members.select("chain", "v")
-    for _ in range(rounds):
-        low = links.join(label, "v").groupBy("chain").agg(F.min("component").alias("c"))
-        new = cut(links.join(low, "chain").groupBy("v").agg(F.min("c").alias("component")))
-        same = new.join(label.withColumnRenamed("component", "was"), "v").where("component != was").isEmpty()
-        label = new
-        if same:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return members.select("chr", "s", "e", "v").distinct().join(label, "v").drop("v")
+def graph_components(chains: DataFrame) -> DataFrame:
+    """(chr, s, e, component) of introns that share a read or transcript; chains hold introns and chr. Consecutive introns of a chain are
+    edges, so a chain of n introns gives n of them."""
+    vid = lambda x: F.xxhash64("chr", x["s"], x["e"])
+    ends = chains.where(F.size("introns") > 0).select("chr", "introns").distinct()
+    following = F.transform("introns", lambda x, k: F.struct(x.alias("x"), F.coalesce(F.get("introns", k + 1), x).alias("y")))
+    pairs = ends.select("chr", F.explode(following).alias("p"))
+    edges = pairs.select(vid(F.col("p.x")).alias("a"), vid(F.col("p.y")).alias("b")).distinct()
+    named = pairs.select("chr", "p.x.s", "p.x.e", vid(F.col("p.x")).alias("node")).distinct()
+    return named.join(components(edges), "node").drop("node")
 
 
 def cluster_positions(positions: DataFrame, by: list[str], window: int = 50, least: int = 1, share: float = 0.05) -> DataFrame:
     """Terminal positions (by, pos, n) to clusters: the strongest free position takes all free ones within the window; clusters of
-    less than max(least, share of the strongest) reads go."""
+    less than max(least, share of the strongest) reads go. Only positions that are linked by gaps within the window are gathered."""
     kinds = ", ".join(f"`{c}` {positions.schema[c].dataType.simpleString()}" for c in by)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         rest = dict(zip(pdf["pos"], pdf["n"], strict=True))
+        order = sorted(rest)
         found = []
         for pos in sorted(rest, key=lambda p: (-rest[p], p)):
             if pos in rest:
-                near = [p for p in rest if abs(p - pos) <= window]
-                found.append((pos, sum(rest.pop(p) for p in near)))
-        top = max((n for _, n in found), default=0)
-        keep = [(pos, n) for pos, n in found if n >= max(least, share * top)]
-        return pd.DataFrame([(*[pdf[c].iloc[0] for c in by], *k) for k in keep], columns=[*by, "site", "reads"])
+                near = [p for p in order[bisect_left(order, pos - window) : bisect_right(order, pos + window)] if p in rest]
+                found.append((*[pdf[c].iloc[0] for c in by], pos, sum(rest.pop(p) for p in near)))
+        return pd.DataFrame(found, columns=[*by, "site", "reads"])
 
-    return positions.groupBy(*by).applyInPandas(solve, f"{kinds}, site bigint, reads bigint")
+    linked = sweep(positions.withColumn("_p", F.col("pos")), by, "pos", "_p", window, "_linked").drop("_p")
+    sites = linked.groupBy(*by, "_linked").applyInPandas(lambda pdf: solve(pdf), f"{kinds}, site bigint, reads bigint")
+    top = sites.groupBy(*by).agg(F.max("reads").alias("_top"))
+    return sites.join(top, by).where(F.col("reads") >= F.greatest(F.lit(least), F.lit(share) * F.col("_top"))).drop("_top")
 
 
 def chain_models(reads: DataFrame, transcripts: DataFrame, least: int, least_known: int | None = None) -> DataFrame:
@@ -174,17 +172,16 @@ def join_genes(models: DataFrame, share: float = 0.5) -> DataFrame:
                 group = [keep if g == gone else g for g in group]
         return pd.DataFrame({"tx_id": rows["tx_id"], "gene": [f"{rows['chr'][0]}_{rows['strand'][0]}_{rows['tx_id'][g]}" for g in group], "annotated_gene": [ref.get(g) for g in group]}).astype({"annotated_gene": "Int64"})
 
-    from .regions import islands
-
     spans = models.select("tx_id", "chr", "strand", "introns", "span", "annotated", F.col("span.s").alias("s"), F.col("span.e").alias("e"))
     return islands(spans, ["chr", "strand"]).drop("s", "e").groupBy("chr", "strand", "island").applyInPandas(lambda pdf: solve(pdf), "tx_id bigint, gene string, annotated_gene bigint")
 
 
 def novel_mono_exons(reads: DataFrame, least: int = 3, window: int = 50) -> DataFrame:
     """Unspliced reads with a tail, by clusters of their tail sites: a model from the smallest start to the site."""
-    mono = reads.where((F.size("blocks") == 1) & F.col("tail").isNotNull())
+    mono = reads.where((F.size("blocks") == 1) & F.col("tail").isNotNull()).withColumn("_place", F.concat_ws(" ", "chr", "strand"))
     sites = cluster_positions(mono.groupBy("chr", "strand", F.col("tail").alias("pos")).agg(F.count("*").alias("n")), ["chr", "strand"], window, least)
-    near = mono.join(sites, ["chr", "strand"]).where(F.abs(F.col("tail") - F.col("site")) <= window)
+    places = sites.select(F.concat_ws(" ", "chr", "strand").alias("_place"), "site", F.col("site").alias("rs"), F.col("site").alias("re"))
+    near = point_join(mono, places, "_place", "tail", window=window)
     return near.groupBy("chr", "strand", "site").agg(F.min(F.col("span.s")).alias("s"), F.max(F.col("span.e")).alias("e"), F.count("*").alias("reads")).where(F.col("reads") >= least)
 
 

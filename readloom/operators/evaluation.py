@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .ordering import running_before
+
 
 def value_sums(counts: DataFrame, feature: str, group: str, value: str = "count", least: float = 5.0) -> DataFrame:
     """Sums per feature and group, of features that reach `least` in some group."""
@@ -25,11 +27,10 @@ def usage_deviance(counts: DataFrame, gene: str, isoform: str, condition: str, a
 
 def average_rank(df: DataFrame, value: str, name: str, by: list[str] | None = None) -> DataFrame:
     """Rank from 1 in ascending order, ties get their mean. Ranks come from counts of distinct values, so that no window holds all rows:
-    only the distinct values are ordered."""
+    only the distinct values are ordered, and without groups in ranges."""
     by = by or []
     values = df.groupBy(*by, value).agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranks = values.withColumn(name, before + (F.col("_c") + 1) / 2.0).drop("_c")
+    ranks = running_before(values, by, value, "_c", "_before").withColumn(name, F.col("_before") + (F.col("_c") + 1) / 2.0).drop("_c", "_before")
     return df.join(ranks, [*by, value])
 
 

@@ -75,14 +75,34 @@ def aggregate(pairs: DataFrame, read: str = "read_id", bin_size: int = 1) -> Dat
 
 
 def consensus(points: DataFrame, keys: list[str], w: int = 2000) -> DataFrame:
-    """Densest w × w window of each key, and its weighted centre. Points are counted first; anchors meet points of neighbouring tiles
-    only, by an equi-join, so that no key is gathered."""
+    """Densest w × w window of each key that begins at two of its positions' coordinates, and its weighted centre.
+
+    Counts of cells of w/8 bound every window from below (cells inside it) and above (cells that it meets); both are sums along one
+    side, then the other. Only points of cells whose upper bound reaches the key's best lower bound begin a window that is summed, by an
+    equi-join with the points of its four tiles."""
+    cell = max(1, w // 8)
+    span = -(-w // cell)
     counted = points.groupBy(*keys, "pos_a", "pos_b").agg(F.count("*").alias("n"))
+    counted = counted.withColumn("ca", F.floor(F.col("pos_a") / cell)).withColumn("cb", F.floor(F.col("pos_b") / cell))
+    cells = counted.groupBy(*keys, "ca", "cb").agg(F.sum("n").alias("n"))
+
+    def summed(df: DataFrame, side: str, reach: tuple[int, int], value: str, name: str) -> DataFrame:
+        """For each cell, the sum over the cells from reach[0] to reach[1] further along a side."""
+        back = F.explode(F.array(*[F.lit(k) for k in range(reach[0], reach[1] + 1)]))
+        moved = df.select(*keys, "ca", "cb", value, back.alias("_k")).withColumn(side, F.col(side) - F.col("_k"))
+        return moved.groupBy(*keys, "ca", "cb").agg(F.sum(value).alias(name))
+
+    upper = summed(summed(cells, "ca", (0, span), "n", "u"), "cb", (0, span), "u", "upper")
+    lower = summed(summed(cells, "ca", (1, span - 1), "n", "l"), "cb", (1, span - 1), "l", "lower") if span > 1 else cells.withColumn("lower", F.lit(0).cast("bigint"))
+    own = cells.select(*keys, "ca", "cb").join(upper, [*keys, "ca", "cb"]).join(lower.select(*keys, "ca", "cb", "lower"), [*keys, "ca", "cb"], "left")
+    floor = own.groupBy(*keys).agg(F.max(F.coalesce("lower", F.lit(0))).alias("_floor"))
+    begin = own.join(floor, keys).where(F.col("upper") >= F.col("_floor")).select(*keys, "ca", "cb")
     tiles = counted.withColumn("ta", F.floor(F.col("pos_a") / w)).withColumn("tb", F.floor(F.col("pos_b") / w))
     reach = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])
-    anchors = tiles.select(*keys, F.col("pos_a").alias("a0"), F.col("pos_b").alias("b0"), "ta", "tb", F.explode(reach).alias("d")).select(*keys, "a0", "b0", (F.col("ta") + F.col("d.i")).alias("ta"), (F.col("tb") + F.col("d.j")).alias("tb"))
+    anchors = tiles.join(begin, [*keys, "ca", "cb"]).select(*keys, F.col("pos_a").alias("a0"), F.col("pos_b").alias("b0"), "ta", "tb", F.explode(reach).alias("d"))
+    anchors = anchors.select(*keys, "a0", "b0", (F.col("ta") + F.col("d.i")).alias("ta"), (F.col("tb") + F.col("d.j")).alias("tb"))
     inside = (F.col("pos_a") >= F.col("a0")) & (F.col("pos_a") < F.col("a0") + w) & (F.col("pos_b") >= F.col("b0")) & (F.col("pos_b") < F.col("b0") + w)
-    windows = anchors.join(tiles, [*keys, "ta", "tb"]).where(inside).groupBy(*keys, "a0", "b0").agg(F.sum("n").alias("reads"), F.sum(F.col("pos_a") * F.col("n")).alias("sa"), F.sum(F.col("pos_b") * F.col("n")).alias("sb"))
+    windows = anchors.join(tiles.drop("ca", "cb"), [*keys, "ta", "tb"]).where(inside).groupBy(*keys, "a0", "b0").agg(F.sum("n").alias("reads"), F.sum(F.col("pos_a") * F.col("n")).alias("sa"), F.sum(F.col("pos_b") * F.col("n")).alias("sb"))
     best = windows.groupBy(*keys).agg(F.min_by(F.struct("reads", "sa", "sb"), F.struct(-F.col("reads"), "a0", "b0")).alias("w"))
     return best.select(*keys, F.col("w.reads").alias("window_reads"), F.expr("w.sa div w.reads").alias("consensus_a"), F.expr("w.sb div w.reads").alias("consensus_b"))
 

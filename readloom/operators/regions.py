@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .ordering import sweep
+
 
 def interval_join(left: DataFrame, right: DataFrame, by: str = "chr", ls: str = "s", le: str = "e", rs: str = "rs", re: str = "re", width: int = 4096, how: str = "inner") -> DataFrame:
     """Pairs whose closed intervals overlap on the same `by`; how is inner, left or left_anti. Column names of the sides must differ, but for `by`."""
@@ -35,7 +37,11 @@ def point_join(points: DataFrame, intervals: DataFrame, by: str = "chr", pos: st
 
 
 def islands(df: DataFrame, by: list[str], s: str = "s", e: str = "e", gap: int = 0, name: str = "island") -> DataFrame:
-    """Numbers groups of intervals that overlap, or lie within `gap`, directly or through others; numbers count from 1 within `by`."""
+    """Numbers groups of intervals that overlap, or lie within `gap`, directly or through others; numbers count from 1 within `by`.
+
+    Groups within a chromosome are found in two levels; smaller ones, such as genes, by a window."""
+    if "chr" in by:
+        return sweep(df, by, s, e, gap, name)
     order = W.partitionBy(*by).orderBy(s, e)
     reach = F.max(e).over(order.rowsBetween(W.unboundedPreceding, -1))
     return df.withColumn("_new", F.when(reach.isNull() | (F.col(s) > reach + gap), 1).otherwise(0)).withColumn(name, F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
