@@ -121,6 +121,14 @@ def matrix_market(counts: DataFrame, feature: str, group: str) -> DataFrame:
     return counts.where("count != 0").join(ids(feature, "row"), feature).join(ids(group, "column"), group).select("row", "column", "count")
 
 
+def include_exclude_matrices(counts: DataFrame, feature: str, group: str) -> DataFrame:
+    """(kind, row, column, count): the included and the excluded counts as two sparse matrices over common ids; zeros are left out."""
+    ids = lambda c, name: numbered(counts.select(c).distinct(), [c], name).withColumn(name, F.col(name).cast("int"))
+    rows = counts.join(ids(feature, "row"), feature).join(ids(group, "column"), group)
+    pairs = F.array(F.struct(F.lit("include").alias("kind"), F.col("include_counts").alias("count")), F.struct(F.lit("exclude").alias("kind"), F.col("exclude_counts").alias("count")))
+    return rows.select("row", "column", F.explode(pairs).alias("p")).select("p.kind", "row", "column", "p.count").where("count != 0")
+
+
 def include_exclude_cells(counts: DataFrame, feature: list[str], group: str, values: list[str]) -> DataFrame:
     """Cells "included,excluded" of features by groups."""
     cells = counts.withColumn("cell", F.concat_ws(",", F.col("include_counts").cast("string"), F.col("exclude_counts").cast("string")))

@@ -152,3 +152,92 @@ def agreement(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     n = n.withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn")))
     return n.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+
+
+# ---------------------------------------------------------------- reads, gates and the validation cascade
+
+# Genes whose fusions are known drivers, and name prefixes of families that produce artifacts.
+DRIVERS = ("BCR", "ABL1", "RUNX1", "RUNX1T1", "PML", "RARA", "ETV6", "NUP98", "NUP214", "KMT2A", "MLLT3", "EWSR1", "ERG", "FGFR1", "RET", "ROS1", "ALK", "TMPRSS2", "FLI1", "MYH11", "CBFB")
+ARTIFACT_PREFIXES = ("RPL", "RPS", "MRPL", "MRPS", "H1-", "H2A", "H2B", "H3-", "H4-", "HIST1", "HIST2", "HIST3", "HLA-", "MICA", "MICB", "KRT", "OR", "ZNF", "DEFA", "DEFB", "IGH", "IGK", "IGL", "TRAV", "TRBV", "TRGV", "TRDV", "MUC", "AMY", "CYP")
+
+
+def fusion_reads(alignments: DataFrame, least_length: int = 50, least_mapq: int = 10) -> DataFrame:
+    """Primary alignments (cigar, mapq, is_secondary, is_supplementary) of enough aligned bases and quality."""
+    keep = (cigar_length(F.col("cigar")) >= least_length) & (F.col("mapq") >= least_mapq)
+    return alignments.where(keep & ~F.coalesce("is_secondary", F.lit(False)) & ~F.coalesce("is_supplementary", F.lit(False)))
+
+
+def is_allowed_biotype(biotype: Column) -> Column:
+    """A biotype that a fusion's gene may have; an unknown one is no reason against it."""
+    return biotype.isNull() | biotype.isin(*BIOTYPES)
+
+
+def is_artifact_family(gene: Column) -> Column:
+    return F.coalesce(F.upper(gene).rlike("^(" + "|".join(ARTIFACT_PREFIXES) + ")"), F.lit(False))
+
+
+def gate(points: DataFrame, keys: list[str], read: str = "read_id", least: int = 1, w: int = 2000) -> DataFrame:
+    """Candidates (keys, support, window_reads, consensus_a, consensus_b) that enough reads support and whose breakpoints agree on a
+    window; points: keys, read, pos_a, pos_b."""
+    support = points.groupBy(*keys).agg(F.count_distinct(read).alias("support")).where(F.col("support") >= least)
+    return support.join(consensus(points.where("pos_a is not null and pos_b is not null"), keys, w), keys)
+
+
+def with_genes(candidates: DataFrame, genes: DataFrame) -> DataFrame:
+    """Adds symbols and biotypes (null if unknown) of gene_a and gene_b. genes: gene, symbol, biotype."""
+    info = genes.groupBy("gene").agg(F.min("symbol").alias("symbol"), F.min("biotype").alias("biotype"))
+    out = candidates
+    for side in ("a", "b"):
+        named = info.select(F.col("gene").alias(f"gene_{side}"), F.col("symbol").alias(f"_s{side}"), F.col("biotype").alias(f"biotype_{side}"))
+        out = out.join(named, f"gene_{side}", "left").withColumn(f"symbol_{side}", label(F.col(f"gene_{side}"), F.coalesce(f"_s{side}", f"gene_{side}"))).drop(f"_s{side}")
+    return out
+
+
+def confidence(support: Column, gene_a: Column, gene_b: Column, reconstructed: Column, hits: Column, best_mapq: Column) -> Column:
+    """Support up to ten reads, a bonus for a reconstructed junction and its realignments, a malus for artifact families, a bonus for drivers."""
+    own = F.least(support, F.lit(10)) / 10.0
+    found = F.when(reconstructed, 0.2).otherwise(0.0) + F.least(hits, F.lit(3)) * 0.1 + F.least(best_mapq, F.lit(30)) / 300.0
+    prior = F.when(is_artifact_family(gene_a) | is_artifact_family(gene_b), -0.3).otherwise(0.0) + F.when(gene_a.isin(*DRIVERS) | gene_b.isin(*DRIVERS), 0.2).otherwise(0.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), own + found + prior))
+
+
+def cascade(candidates: DataFrame, least_support: int = 2, max_intra: int | None = None, cis_allowed: bool = True, least_confidence: float = 0.3, low_support: int = 2, most: int = 4, most_special: int = 2) -> DataFrame:
+    """Class, validity, reasons and confidence of candidates: gene_a/b, symbol_a/b, biotype_a/b, chr_a/b, consensus_a/b, support and, if
+    there are any, reconstructed, hits and best_mapq of a realignment.
+
+    Filters over all candidates come first (biotypes, pairs of artifact families, genes in many candidates); what they reject is judged
+    no further. The others pass gates in order: support, breakpoint, one gene, names, mitochondria, policy, confidence."""
+    optional = {"reconstructed": F.lit(False), "hits": F.lit(0), "best_mapq": F.lit(0)}
+    rows = gene_frequency(candidates, most, most_special)
+    for c, default in optional.items():
+        if c not in rows.columns:
+            rows = rows.withColumn(c, default)
+    a, b = F.col("symbol_a"), F.col("symbol_b")
+    unnamed = F.col("gene_a").isNull() | F.col("gene_b").isNull() | (a == "intergenic") | (b == "intergenic")
+    before = F.when(~is_allowed_biotype(F.col("biotype_a")) | ~is_allowed_biotype(F.col("biotype_b")), "non-coding partner").when(is_artifact_family(a) & is_artifact_family(b), "multicopy artifact pair").when(F.col("frequent"), "frequent gene")
+    near = (F.col("chr_a") == F.col("chr_b")) & (F.abs(F.col("consensus_b") - F.col("consensus_a")) <= max_intra) if max_intra is not None else F.lit(False)
+    few, lost = F.col("support") < least_support, F.col("consensus_a").isNull() | F.col("consensus_b").isNull()
+    kind = F.when(few | lost, "canonical").when(unnamed, "intergenic").when(a == b, "intragenic").when(near, "cis-SAGe").otherwise("canonical")
+    rows = rows.withColumn("_before", before).withColumn("class", kind)
+    rows = rows.withColumn("confidence", F.round(confidence(F.col("support"), a, b, F.col("reconstructed"), F.col("hits"), F.col("best_mapq")), 3))
+    mito = is_mitochondrial(F.col("chr_a"), F.coalesce(a, F.lit(""))) | is_mitochondrial(F.col("chr_b"), F.coalesce(b, F.lit("")))
+    same, hard = F.col("class") == "intragenic", F.col("class") == "cis-SAGe"
+    sound = ~few & ~lost & ~same & ~unnamed
+    gates = F.array_compact(F.array(
+        F.when(few, "low support"), F.when(~few & lost, "no stable breakpoint"), F.when(~few & ~lost & same, "one locus"), F.when(~few & ~lost & unnamed, "missing gene name"), F.when(sound & mito, "mitochondrial"),
+        F.when(hard & F.lit(not cis_allowed), "cis-SAGe disallowed"), F.when(sound & ~mito & (F.col("confidence") < least_confidence) & (F.col("support") < low_support), "low confidence"),
+    ))
+    rows = rows.withColumn("reasons", F.when(F.col("_before").isNotNull(), F.array("_before")).otherwise(gates))
+    return rows.withColumn("valid", F.size("reasons") == 0).drop("_before")
+
+
+def fusion_table(judged: DataFrame, least_confidence: float = 0.3, classes: tuple[str, ...] = ("canonical", "cis-SAGe"), only_valid: bool = False) -> DataFrame:
+    """The report's columns of judged candidates, best supported first when it is written in order of SupportingReads."""
+    keep = (F.col("confidence") >= least_confidence) & F.col("class").isin(*classes) & F.col("consensus_a").isNotNull() & (F.col("symbol_a") != F.col("symbol_b"))
+    rows = judged.where(keep & F.col("valid") if only_valid else keep)
+    text = lambda c, other: F.coalesce(F.col(c), F.lit(other))
+    return rows.select(
+        F.col("symbol_a").alias("LeftGene"), text("biotype_a", "unknown").alias("LeftBiotype"), F.col("chr_a").alias("LeftChromosome"), F.col("consensus_a").alias("LeftBreakpoint"),
+        F.col("symbol_b").alias("RightGene"), text("biotype_b", "unknown").alias("RightBiotype"), F.col("chr_b").alias("RightChromosome"), F.col("consensus_b").alias("RightBreakpoint"),
+        F.col("support").alias("SupportingReads"), F.concat_ws("-", "symbol_a", "symbol_b").alias("FusionName"), F.col("class").alias("Class"), F.col("valid").alias("Valid"), F.format_string("%.3f", "confidence").alias("Confidence"), F.array_join("reasons", ";").alias("Reasons"),
+    )

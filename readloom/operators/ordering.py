@@ -16,12 +16,12 @@ def numbered(df: DataFrame, columns: list[str], name: str, first: int = 1) -> Da
     """Rows numbered in the order of the columns. Ranges are sorted apart; only the sizes of the ranges are ordered in one place, and
     they are as many as there are partitions. The sorted rows are checkpointed, as sampled ranges need not be the same twice."""
     place = F.monotonically_increasing_id()
-    rows = cut(df.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("_at", place))
-    rows = rows.withColumn("_range", F.shiftright("_at", 33))
-    sizes = rows.groupBy("_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_least"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("_range", "_least", before.alias("_before"))
-    return rows.join(F.broadcast(starts), "_range").withColumn(name, F.col("_before") + F.col("_at") - F.col("_least") + first).drop("_range", "_at", "_least", "_before")
+    rows = cut(df.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("_numbered_at", place))
+    rows = rows.withColumn("_numbered_range", F.shiftright("_numbered_at", 33))
+    sizes = rows.groupBy("_numbered_range").agg(F.count("*").alias("_n"), F.min("_numbered_at").alias("_numbered_least"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_numbered_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_numbered_range", "_numbered_least", before.alias("_numbered_before"))
+    return rows.join(F.broadcast(starts), "_numbered_range").withColumn(name, F.col("_numbered_before") + F.col("_numbered_at") - F.col("_numbered_least") + first).drop("_numbered_range", "_numbered_at", "_numbered_least", "_numbered_before")
 
 
 def running_before(df: DataFrame, by: list[str], order: str, value: str, name: str) -> DataFrame:
