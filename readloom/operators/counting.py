@@ -133,3 +133,29 @@ def include_exclude_cells(counts: DataFrame, feature: list[str], group: str, val
     """Cells "included,excluded" of features by groups."""
     cells = counts.withColumn("cell", F.concat_ws(",", F.col("include_counts").cast("string"), F.col("exclude_counts").cast("string")))
     return cells.groupBy(*feature).pivot(group, values).agg(F.first("cell")).fillna("0,0")
+
+
+# ---------------------------------------------------------------- what counts
+
+
+def counts_for_genes(gene_kind: Column) -> Column:
+    """Reads of one gene; unassigned and ambiguous ones count for none."""
+    return gene_kind.isNotNull() & ~gene_kind.isin("noninformative", "intergenic", "suspended", "ambiguous", "inconsistent_ambiguous")
+
+
+def drop_poor_inconsistent(reads: DataFrame, least_mapq: int = 5, kind: str = "assignment_type") -> DataFrame:
+    """Inconsistent reads of low mapping quality go, after classification."""
+    return reads.where(~(F.col(kind).startswith("inconsistent") & (F.col("mapq") < least_mapq)))
+
+
+def counts_for_ends(kind: Column, polya: Column, stranded: bool = False) -> Column:
+    """Reads that terminal counters take: of four assignment types, with a tail or from stranded data."""
+    return kind.isin("unique", "unique_minor_difference", "ambiguous", "inconsistent_non_intronic") & (polya | F.lit(stranded))
+
+
+def retained_introns(matches: DataFrame, keys: list[str]) -> DataFrame:
+    """Reads per intron that an isoform of theirs has and they retain. matches: events (event, iso_lo, iso_hi), tx_introns, gene_assignment_type."""
+    kept = F.filter("events", lambda e: e["event"].isin("intron_retention", "unspliced_intron_retention") & (e["iso_lo"] >= 0))
+    introns = F.flatten(F.transform(kept, lambda e: F.slice("tx_introns", e["iso_lo"] + 1, e["iso_hi"] - e["iso_lo"] + 1)))
+    rows = matches.where(counts_for_genes(F.col("gene_assignment_type"))).select(*keys, F.explode(introns).alias("i"))
+    return rows.groupBy(*keys, "i.s", "i.e").agg(F.count("*").alias("retained"))

@@ -199,8 +199,39 @@ def read_categories(reads: DataFrame) -> DataFrame:
 
 
 def alternative_ends(models: DataFrame, peaks: DataFrame, apa_delta: int = 50, least: int = 3, share: float = 0.05) -> DataFrame:
-    """Sibling models with another end: peaks inside the terminal exon, farther than apa_delta from the end, strong enough."""
-    last = F.element_at("exons", -1)
-    rows = models.join(peaks, "tx_id").withColumn("_top", F.max("reads").over(W.partitionBy("tx_id")))
-    ok = (F.col("site") >= last["s"]) & (F.col("site") <= last["e"]) & (F.abs(F.col("site") - last["e"]) > apa_delta) & (F.col("reads") >= F.greatest(F.lit(least), share * F.col("_top")))
-    return rows.where(ok).withColumn("exons", F.concat(F.slice("exons", F.lit(1), F.size("exons") - 1), F.array(I.iv(last["s"], F.col("site"))))).drop("_top")
+    """Sibling models with another 3' end: peaks inside the terminal exon, the first one on -, farther than apa_delta from the end, strong
+    enough. models: tx_id, strand, exons; peaks: tx_id, site, reads."""
+    minus = F.col("strand") == "-"
+    last = F.when(minus, F.element_at("exons", 1)).otherwise(F.element_at("exons", -1))
+    end = F.when(minus, last["s"]).otherwise(last["e"])
+    top = peaks.groupBy("tx_id").agg(F.max("reads").alias("_top"))
+    rows = models.join(peaks, "tx_id").join(top, "tx_id")
+    ok = (F.col("site") >= last["s"]) & (F.col("site") <= last["e"]) & (F.abs(F.col("site") - end) > apa_delta) & (F.col("reads") >= F.greatest(F.lit(least), share * F.col("_top")))
+    inner = F.when(minus, F.slice("exons", F.lit(2), F.size("exons") - 1)).otherwise(F.slice("exons", F.lit(1), F.size("exons") - 1))
+    moved = F.when(minus, F.concat(F.array(I.iv(F.col("site"), last["e"])), inner)).otherwise(F.concat(inner, F.array(I.iv(last["s"], F.col("site")))))
+    return rows.where(ok).withColumn("exons", moved).drop("_top")
+
+
+def deal_to_ends(reads: DataFrame, models: DataFrame, siblings: DataFrame, apa_delta: int = 50) -> DataFrame:
+    """(read_id, tx_id, site): each read with the nearest of its model's end and its siblings' ends, the smaller coordinate on ties.
+    reads: read_id, tx_id, end; models: tx_id, site; siblings: tx_id, site."""
+    sites = models.select("tx_id", "site").unionByName(siblings.select("tx_id", "site")).groupBy("tx_id").agg(F.array_sort(F.collect_set("site")).alias("_s"))
+    near = F.array_min(F.transform("_s", lambda s: F.struct(F.abs(s - F.col("end")).alias("d"), s.alias("s"))))["s"]
+    return reads.join(sites, "tx_id").select("read_id", "tx_id", near.alias("site"))
+
+
+def dead_ends(vertices: DataFrame, edges: DataFrame, least: int = 10) -> DataFrame:
+    """Introns that only one read took and that lead nowhere, all of whose siblings do likewise, behind (or before) a well covered
+    intron. vertices: chr, s, e, n; edges: chr, s, e, ns, ne."""
+    out = []
+    n_out = edges.groupBy("chr", "s", "e").agg(F.count("*").alias("k"))
+    n_in = edges.groupBy("chr", F.col("ns").alias("s"), F.col("ne").alias("e")).agg(F.count("*").alias("k"))
+    v = vertices.select("chr", "s", "e", "n")
+    for forward, onward in ((True, n_out), (False, n_in)):
+        own, other = (("s", "e"), ("ns", "ne")) if forward else (("ns", "ne"), ("s", "e"))
+        e = edges.select("chr", F.col(own[0]).alias("fs"), F.col(own[1]).alias("fe"), F.col(other[0]).alias("s"), F.col(other[1]).alias("e"))
+        rows = e.join(v, ["chr", "s", "e"]).join(onward, ["chr", "s", "e"], "left").withColumn("_dead", (F.col("n") == 1) & F.col("k").isNull())
+        strong = v.where(F.col("n") >= least).select("chr", F.col("s").alias("fs"), F.col("e").alias("fe"))
+        whole = rows.groupBy("chr", "fs", "fe").agg(F.min("_dead").alias("_all")).where("_all").join(strong, ["chr", "fs", "fe"], "left_semi")
+        out.append(rows.join(whole.select("chr", "fs", "fe"), ["chr", "fs", "fe"], "left_semi").select("chr", "s", "e"))
+    return out[0].unionAll(out[1]).distinct()

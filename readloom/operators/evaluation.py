@@ -75,3 +75,20 @@ def annotation_stats(transcripts: DataFrame) -> DataFrame:
     """Per gene: transcripts, exons, introns, mean transcript length. transcripts: gene_id, exons, introns."""
     length = F.aggregate("exons", F.lit(0).cast("bigint"), lambda a, x: a + x["e"] - x["s"] + 1)
     return transcripts.withColumn("_l", length).groupBy("gene_id").agg(F.count("*").alias("n_transcripts"), F.sum(F.size("exons")).alias("n_exons"), F.sum(F.size("introns")).alias("n_introns"), F.avg("_l").alias("mean_length"))
+
+
+def lengths(transcripts: DataFrame) -> DataFrame:
+    """(kind, length, n): how many exons, introns and transcripts have which length, each exon and intron once per place."""
+    size = lambda x: x["e"] - x["s"] + 1
+    part = lambda c, kind: transcripts.select("chr", "strand", F.explode(c).alias("x")).distinct().select(F.lit(kind).alias("kind"), size(F.col("x")).alias("length"))
+    whole = transcripts.select(F.lit("transcript").alias("kind"), F.aggregate("exons", F.lit(0).cast("bigint"), lambda a, x: a + x["e"] - x["s"] + 1).alias("length"))
+    return part("exons", "exon").unionAll(part("introns", "intron")).unionAll(whole).groupBy("kind", "length").agg(F.count("*").alias("n"))
+
+
+def motif_counts(introns: DataFrame) -> DataFrame:
+    """(motif, n): first and last two bases of introns (left, right: sequences at their ends; strand), read on their strand."""
+    rev = lambda c: F.reverse(F.translate(F.upper(c), "ACGT", "TGCA"))
+    minus = F.col("strand") == "-"
+    left, right = F.upper(F.substring("left", 1, 2)), F.upper(F.right("right", F.lit(2)))
+    motif = F.when(minus, F.concat_ws("-", rev(right), rev(left))).otherwise(F.concat_ws("-", left, right))
+    return introns.groupBy(motif.alias("motif")).agg(F.count("*").alias("n"))

@@ -138,10 +138,16 @@ def validate(candidates: DataFrame, least_support: int = 2, max_intra: int | Non
     return candidates.withColumn("reasons", F.array_join(reasons, ",")).withColumn("class", kind).withColumn("confidence", F.round(score, 3)).withColumn("valid", F.size(reasons) == 0)
 
 
-def merge_identical(candidates: DataFrame, bin_size: int = 100) -> DataFrame:
-    """Candidates with the same genes and near breakpoints become one; support adds up."""
-    keys = ["gene_a", "gene_b", "chr_a", "chr_b", F.floor(F.col("consensus_a") / bin_size).alias("bin_a"), F.floor(F.col("consensus_b") / bin_size).alias("bin_b")]
-    return candidates.groupBy(*keys).agg(F.sum("support").alias("support"), F.max_by(F.struct("consensus_a", "consensus_b"), F.struct("support", -F.col("consensus_a"))).alias("at"), F.count("*").alias("merged"))
+def merge_identical(candidates: DataFrame, gap: int = 100) -> DataFrame:
+    """Candidates with the same genes whose breakpoints lie within `gap` on both sides, directly or through others on each side in
+    turn, become one; support adds up. Neighbours are found by a sweep over one side, then over the other, so no grid cuts them apart."""
+    keys = ["gene_a", "gene_b", "chr_a", "chr_b"]
+    rows = candidates
+    for side, other, name in (("consensus_a", "consensus_b", "_ga"), ("consensus_b", "consensus_a", "_gb")):
+        group = keys if name == "_ga" else [*keys, "_ga"]
+        order = W.partitionBy(*group).orderBy(side, other)
+        rows = rows.withColumn("_new", F.when(F.col(side) - F.lag(side).over(order) <= gap, 0).otherwise(1)).withColumn(name, F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+    return rows.groupBy(*keys, "_ga", "_gb").agg(F.sum("support").alias("support"), F.max_by(F.struct("consensus_a", "consensus_b"), F.struct("support", -F.col("consensus_a"), -F.col("consensus_b"))).alias("at"), F.count("*").alias("merged")).drop("_ga", "_gb")
 
 
 def agreement(predicted: DataFrame, truth: DataFrame) -> DataFrame:

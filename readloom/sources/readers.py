@@ -211,3 +211,53 @@ def cached(spark: SparkSession, df: DataFrame, folder: str, key: str) -> DataFra
     if not hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(hadoop):
         df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def replay(spark: SparkSession, folder: str, stage: str, dropped: DataFrame | None = None, key: str = "read_id") -> DataFrame:
+    """Rows of a stage that an earlier run saved, without reads that later stages dropped (suspended or filtered ones)."""
+    rows = spark.read.parquet(f"{folder.rstrip('/')}/{stage}")
+    return rows if dropped is None else rows.join(dropped.select(key).distinct(), key, "left_anti")
+
+
+def save_stage(df: DataFrame, folder: str, stage: str) -> DataFrame:
+    """A stage's rows as Parquet, read back for what follows; later runs can replay() it."""
+    path = f"{folder.rstrip('/')}/{stage}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def region_reads(alignments: DataFrame, regions: DataFrame, in_memory: bool = False) -> DataFrame:
+    """Alignments of regions (chr, rs, re). Regions that are asked for again come from the scan, or from storage that spills to disk."""
+    from pyspark import StorageLevel
+
+    from ..operators.regions import interval_join
+
+    rows = alignments.persist(StorageLevel.MEMORY_AND_DISK) if in_memory else alignments
+    return interval_join(rows, regions)
+
+
+def joined_blocks(pos: Column, cigar: Column) -> Column:
+    """Blocks of an alignment where pieces of matches that only insertions or deletions separate are one: as cigar_blocks(), but blocks
+    begin and end with a match, so deletions at their edges belong to none."""
+    ops = F.transform(F.regexp_extract_all(cigar, F.lit(r"(\d+[MIDNSHP=X])"), F.lit(1)), lambda o: F.struct(F.regexp_extract(o, r"^(\d+)", 1).cast("bigint").alias("n"), F.right(o, F.lit(1)).alias("op")))
+    empty = F.array().cast("array<struct<s:bigint,e:bigint>>")
+    start = F.struct(pos.cast("bigint").alias("at"), F.lit(True).alias("fresh"), empty.alias("done"))
+
+    def step(a: Column, o: Column) -> Column:
+        match, skip = o["op"].isin("M", "=", "X"), o["op"] == "N"
+        at = F.when(match | skip | (o["op"] == "D"), a["at"] + o["n"]).otherwise(a["at"])
+        own = I.iv(a["at"], at - 1)
+        last = F.try_element_at(a["done"], F.lit(-1))
+        longer = F.concat(F.slice(a["done"], F.lit(1), F.greatest(F.size(a["done"]) - 1, F.lit(0))), F.array(I.iv(last["s"], own["e"])))
+        done = F.when(match & a["fresh"], F.concat(a["done"], F.array(own))).when(match, longer).otherwise(a["done"])
+        return F.struct(at.alias("at"), F.when(match, F.lit(False)).when(skip, F.lit(True)).otherwise(a["fresh"]).alias("fresh"), done.alias("done"))
+
+    return F.aggregate(ops, start, step, lambda a: a["done"])
+
+
+def validated(gtf: DataFrame) -> DataFrame:
+    """Features whose gene or transcript ids repeat at several places, each with an id of its own there (see rename_duplicates); exons
+    follow the transcript whose place holds them."""
+    names = rename_duplicates(gtf).select("transcript_id", "new_transcript_id", F.col("chr").alias("_c"), F.col("strand").alias("_st"), F.col("s").alias("_s"), F.col("e").alias("_e"))
+    rows = gtf.join(names, "transcript_id", "left").where("feature = 'gene' or new_transcript_id is null or (chr = _c and strand = _st and s >= _s and e <= _e)")
+    return rows.withColumn("transcript_id", F.coalesce("new_transcript_id", "transcript_id")).drop("new_transcript_id", "_c", "_st", "_s", "_e")
