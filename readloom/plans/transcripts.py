@@ -35,7 +35,7 @@ def alignment_blocks(sam: DataFrame) -> DataFrame:
     return rows.withColumn("aln_id", key).withColumn("s", F.col("span.s")).withColumn("e", F.col("span.e"))
 
 
-def analyze(alignments: DataFrame, exons: DataFrame, preset: str = "default", gene_strategy: str = "unique_splicing_consistent", transcript_strategy: str = "unique_only", group: str | None = None, least_mapq: int = 0, secondary: bool = False, models: str = "default_ont") -> Results:
+def analyze(alignments: DataFrame, exons: DataFrame, preset: str = "default", gene_strategy: str = "unique_splicing_consistent", transcript_strategy: str = "unique_only", group: str | None = None, least_mapq: int = 0, secondary: bool = False, models: str = "default_ont", least_inconsistent_mapq: int = 5) -> Results:
     """alignments: aln_id, read_id, chr, s, e, blocks, introns, span, mapq, is_secondary (and the group column)."""
     if preset not in MATCHING or models not in DISCOVERY:
         raise ValueError("unknown preset")
@@ -45,10 +45,12 @@ def analyze(alignments: DataFrame, exons: DataFrame, preset: str = "default", ge
     near = interval_join(reads.select("aln_id", "chr", "s", "e", "blocks", "introns", "span"), genes)
     found = classify.classify(near.select("aln_id", "gene_id", "blocks", "introns", "span"), tx, preset)
     best = found.groupBy("aln_id").agg(F.first("assignment_type").alias("assignment_type"), F.first("gene_assignment_type").alias("gene_assignment_type"), F.sort_array(F.collect_set("tx_id")).alias("tx_ids"), F.sort_array(F.collect_set("gene_id")).alias("gene_ids"), F.min("penalty").alias("penalty"))
-    overlap = near.select("aln_id", "rs").groupBy("aln_id").agg(F.min("rs").alias("region_s"))
+    common = F.least("e", "re") - F.greatest("s", "rs") + 1
+    overlap = near.groupBy("aln_id").agg(F.min("rs").alias("region_s"), F.max(common).alias("overlap"))
     rows = reads.join(best, "aln_id", "left").join(overlap, "aln_id", "left")
     rows = rows.withColumn("assignment_type", F.coalesce("assignment_type", F.when(F.col("region_s").isNull(), "intergenic").otherwise("noninformative"))).withColumn("gene_assignment_type", F.coalesce("gene_assignment_type", "assignment_type"))
-    rows = rows.withColumn("isoform_id", F.array_join("tx_ids", ",")).withColumn("gene_id", F.array_join("gene_ids", ",")).withColumn("is_primary", ~F.col("is_secondary")).withColumn("overlap", F.col("e") - F.col("s")).withColumn("penalty", F.coalesce("penalty", F.lit(0.0)))
+    rows = rows.withColumn("isoform_id", F.array_join("tx_ids", ",")).withColumn("gene_id", F.array_join("gene_ids", ",")).withColumn("is_primary", ~F.col("is_secondary")).withColumn("overlap", F.coalesce("overlap", F.lit(0))).withColumn("penalty", F.coalesce("penalty", F.lit(0.0)))
+    rows = counting.drop_poor_inconsistent(rows, least_inconsistent_mapq)
     resolved = multimap.resolve(rows).where("kept").withColumn("assignment_type", F.when(F.col("resolved_type").endswith("ambiguous") & ~F.col("assignment_type").endswith("ambiguous"), F.col("resolved_type")).otherwise(F.col("assignment_type")))
     groups = [group] if group else []
 
