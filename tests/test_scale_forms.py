@@ -217,3 +217,19 @@ def test_routes_of_odd_reads(spark):
     paths = {x.aln_id: x.path for x in K.profiled(r, t).collect()}
     assert paths == {"full": "consistent", "skip": "consistent", "intron": "genic_intron", "beside": "intergenic", "novel": "inconsistent", "nested": "consistent", "over": "consistent"}
     assert {(x.aln_id, x.tx_id) for x in K.consistent_isoforms(r, t).collect()} == {("full", "t1"), ("skip", "t2"), ("nested", "n1"), ("over", "n1")}
+
+
+@pytest.mark.parametrize("lost", ["left", "right"])
+def test_path_invariants_ask_what_is_threaded(spark, monkeypatch, lost):
+    """Paths of which an end is not found are no longer 0, 0, 0."""
+    from readloom.plans import QUERIES, q_more
+
+    thread = M.thread_paths
+
+    def worse(reads, *rest):
+        t = thread(reads, *rest)
+        return t.withColumn(lost, F.lit(None).cast(t.schema[lost].dataType)).withColumn("full", F.lit(False))
+
+    small = "/root/testdata/sf0.001"
+    monkeypatch.setattr(q_more.G, "thread_paths", worse)
+    assert sum(QUERIES["g9_path_invariants"](spark, small).head()) > 0
