@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -78,8 +80,9 @@ def consensus(points: DataFrame, keys: list[str], w: int = 2000) -> DataFrame:
     """Densest w × w window of each key that begins at two of its positions' coordinates, and its weighted centre.
 
     Counts of cells of w/8 bound every window from below (cells inside it) and above (cells that it meets); both are sums along one
-    side, then the other. Only points of cells whose upper bound reaches the key's best lower bound begin a window that is summed, by an
-    equi-join with the points of its four tiles."""
+    side, then the other. Only points of cells whose upper bound reaches the key's best lower bound begin a window that is summed. They
+    are dealt by tiles of w, each with the points of its four tiles (at most 2w × 2w different places), where all windows come from
+    running sums along both sides: the work grows with the points, not with the pairs of them."""
     cell = max(1, w // 8)
     span = -(-w // cell)
     counted = points.groupBy(*keys, "pos_a", "pos_b").agg(F.count("*").alias("n"))
@@ -96,17 +99,52 @@ def consensus(points: DataFrame, keys: list[str], w: int = 2000) -> DataFrame:
     lower = summed(summed(cells, "ca", (1, span - 1), "n", "l"), "cb", (1, span - 1), "l", "lower") if span > 1 else cells.withColumn("lower", F.lit(0).cast("bigint"))
     own = cells.select(*keys, "ca", "cb").join(upper, [*keys, "ca", "cb"]).join(lower.select(*keys, "ca", "cb", "lower"), [*keys, "ca", "cb"], "left")
     floor = own.groupBy(*keys).agg(F.max(F.coalesce("lower", F.lit(0))).alias("_floor"))
-    begin = own.join(floor, keys).where(F.col("upper") >= F.col("_floor")).select(*keys, "ca", "cb")
-    tiles = counted.withColumn("ta", F.floor(F.col("pos_a") / w)).withColumn("tb", F.floor(F.col("pos_b") / w))
-    reach = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])
-    anchors = tiles.join(begin, [*keys, "ca", "cb"]).select(*keys, F.col("pos_a").alias("a0"), F.col("pos_b").alias("b0"), "ta", "tb", F.explode(reach).alias("d"))
-    anchors = anchors.select(*keys, "a0", "b0", (F.col("ta") + F.col("d.i")).alias("ta"), (F.col("tb") + F.col("d.j")).alias("tb"))
-    inside = (F.col("pos_a") >= F.col("a0")) & (F.col("pos_a") < F.col("a0") + w) & (F.col("pos_b") >= F.col("b0")) & (F.col("pos_b") < F.col("b0") + w)
-    windows = anchors.join(tiles.drop("ca", "cb"), [*keys, "ta", "tb"]).where(inside).groupBy(*keys, "a0", "b0").agg(F.sum("n").alias("reads"), F.sum(F.col("pos_a") * F.col("n")).alias("sa"), F.sum(F.col("pos_b") * F.col("n")).alias("sb"))
+    begin = own.join(floor, keys).where(F.col("upper") >= F.col("_floor")).select(*keys, "ca", "cb", F.lit(True).alias("_begins"))
+    # Rows without a key have no window, as joins on the keys match none.
+    marked = counted.join(begin, [*keys, "ca", "cb"], "left").withColumn("_begins", F.coalesce("_begins", F.lit(False)))
+    tiles = marked.withColumn("ta", F.floor(F.col("pos_a") / w)).withColumn("tb", F.floor(F.col("pos_b") / w))
+    moves = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])
+    dealt = tiles.select(*keys, "pos_a", "pos_b", "n", F.explode(moves).alias("d"), "ta", "tb", "_begins").withColumn("ta", F.col("ta") - F.col("d.i")).withColumn("tb", F.col("tb") - F.col("d.j"))
+    # A tile's own points (d = 0, 0) begin its windows.
+    dealt = dealt.withColumn("_begins", F.col("_begins") & (F.col("d.i") == 0) & (F.col("d.j") == 0)).drop("d")
+    wanted = dealt.where("_begins").select(*keys, "ta", "tb").distinct()
+    kinds = ", ".join(f"`{c}` {points.schema[c].dataType.simpleString()}" for c in keys)
+    windows = dealt.join(wanted, [*keys, "ta", "tb"], "left_semi").groupBy(*keys, "ta", "tb").applyInPandas(lambda pdf: _densest(pdf, keys, w), f"{kinds}, a0 bigint, b0 bigint, reads bigint, sa bigint, sb bigint")
     best = windows.groupBy(*keys).agg(F.min_by(F.struct("reads", "sa", "sb"), F.struct(-F.col("reads"), "a0", "b0")).alias("w"))
     return best.select(*keys, F.col("w.reads").alias("window_reads"), F.expr("w.sa div w.reads").alias("consensus_a"), F.expr("w.sb div w.reads").alias("consensus_b"))
 
 
+def _densest(pdf: pd.DataFrame, keys: list[str], w: int) -> pd.DataFrame:
+    """The best window that begins at one of the rows that say so, of most reads, then of the least corner. The lines of one side enter
+    and leave a sum over the other side's places, so that a line costs its places and its beginnings."""
+    a, b, n, begins = (pdf[c].to_numpy() for c in ("pos_a", "pos_b", "n", "_begins"))
+    ua, ia = np.unique(a, return_inverse=True)
+    ub, ib = np.unique(b, return_inverse=True)
+    order = np.lexsort((ib, ia))
+    ia, ib, n, begins = ia[order], ib[order], n[order], begins[order].astype(bool)
+    starts = np.searchsorted(ia, np.arange(len(ua) + 1))
+    until_a, until_b = np.searchsorted(ua, ua + w), np.searchsorted(ub, ub + w)
+    line, gone, best = np.zeros(len(ub), dtype=np.int64), 0, None
+    upto = 0
+    for k in range(len(ua)):
+        rows = slice(starts[gone], starts[k])
+        np.subtract.at(line, ib[rows], n[rows])
+        rows = slice(starts[upto], starts[until_a[k]])
+        np.add.at(line, ib[rows], n[rows])
+        gone, upto = k, until_a[k]
+        at = ib[starts[k] : starts[k + 1]][begins[starts[k] : starts[k + 1]]]
+        if len(at):
+            run = np.concatenate(([0], np.cumsum(line)))
+            reads = run[until_b[at]] - run[at]
+            top = int(reads.argmax())  # the first of equals: places are sorted
+            if best is None or reads[top] > best[0]:
+                best = (int(reads[top]), k, int(at[top]))
+    reads, k, j = best
+    inside = (ia >= k) & (ia < until_a[k]) & (ib >= j) & (ib < until_b[j])
+    sums = [int((u[i[inside]] * n[inside]).sum()) for u, i in ((ua, ia), (ub, ib))]
+    return pd.DataFrame([[*(pdf[c].iloc[0] for c in keys), int(ua[k]), int(ub[j]), reads, *sums]], columns=[*keys, "a0", "b0", "reads", "sa", "sb"])
+
+
 def gene_frequency(candidates: DataFrame, most: int = 4, most_special: int = 2) -> DataFrame:
     """Flags candidates with a gene in more than `most` of them (ribosomal and histone genes: more than `most_special`)."""
     genes = candidates.select("gene_a", "gene_b").select(F.explode(F.array("gene_a", "gene_b")).alias("gene")).groupBy("gene").agg(F.count("*").alias("n"))

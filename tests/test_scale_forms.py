@@ -59,6 +59,20 @@ def test_graph_components_have_no_longest_path(spark):
     assert sorted(Counter(r.component for r in got).values()) == [1, 1, 61]
 
 
+def most_rows(df):
+    """The most rows that an operator of a plan made, by its counters."""
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        metric = node.metrics().get("numOutputRows")
+        most = max(most, metric.get().value() if metric.isDefined() else 0)
+        name = node.getClass().getSimpleName()
+        inner = [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if name.endswith("QueryStageExec") else []
+        below = node.children()
+        todo += inner + [below.apply(k) for k in range(below.size())]
+    return most
+
+
 @pytest.mark.parametrize("w", [8, 50, 2000])
 def test_densest_window(spark, w):
     rnd = random.Random(w)
@@ -72,6 +86,20 @@ def test_densest_window(spark, w):
         assert got[key] == (len(p), div(sum(a for a, _ in p), len(p)), div(sum(b for _, b in p), len(p)))
 
 
+def test_evenly_filled_windows_are_not_paired(spark):
+    """40,000 evenly filled places of two keys, where no bound rules a window out: places meet each other in no join. A plain sum agrees."""
+    n = {(a, b): 1 + (a * 7 + b * 13) % 5 for a in range(200) for b in range(100)}
+    df = spark.range(40_000).selectExpr("id % 2 as key", "id div 200 as a", "id div 2 % 100 as b").selectExpr("key", "a as pos_a", "b as pos_b", "explode(sequence(1, 1 + (a * 7 + b * 13) % 5)) as k").drop("k")
+    found = X.consensus(df, ["key"], 60)
+    got = {r.key: tuple(r)[1:] for r in found.collect()}
+    tops = [(-sum(n.get((a, b), 0) for a in range(a0, a0 + 60) for b in range(b0, b0 + 60)), a0, b0) for a0 in range(0, 141) for b0 in range(0, 41)]
+    reads, a0, b0 = min(tops)
+    inside = [(a, b, n[a, b]) for a in range(a0, a0 + 60) for b in range(b0, b0 + 60)]
+    want = (-reads, sum(a * k for a, _, k in inside) // -reads, sum(b * k for _, b, k in inside) // -reads)
+    assert got == {0: want, 1: want}
+    assert most_rows(found) <= 4 * 20_000 * 2
+
+
 def test_ids_past_those_taken(spark):
     rnd = random.Random(6)
     for taken in ([], [1, 2, 3], rnd.sample(range(1, 200), 90), [5, 5, -3, 0]):
