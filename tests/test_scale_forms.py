@@ -261,3 +261,12 @@ def test_path_invariants_ask_what_is_threaded(spark, monkeypatch, lost):
     small = "/root/testdata/sf0.001"
     monkeypatch.setattr(q_more.G, "thread_paths", worse)
     assert sum(QUERIES["g9_path_invariants"](spark, small).head()) > 0
+
+
+def test_loci_are_joined_many_at_a_time(spark):
+    """2,000 loci do not make as many calls of Python; each has its own genes, whatever the order of its models."""
+    x = lambda i, at: (i, "c", "+", [(at + 11, at + 20)], (at, at + 30), 7 * i if i % 2 else None)
+    rows = [x(2 * k + d, 100 * k + d) for k in range(2_000) for d in (0, 1)]
+    found = G.join_genes(spark.createDataFrame(rows[::-1], f"tx_id long, chr string, strand string, introns array<{IV}>, span {IV}, annotated long"))
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+    assert all((r.gene, r.annotated_gene) == (f"c_+_{r.tx_id | 1}", 7 * (r.tx_id | 1)) for r in found.collect()) and found.count() == 4_000
