@@ -282,3 +282,13 @@ def test_loci_are_joined_many_at_a_time(spark):
     found = G.join_genes(spark.createDataFrame(rows[::-1], f"tx_id long, chr string, strand string, introns array<{IV}>, span {IV}, annotated long"))
     assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
     assert all((r.gene, r.annotated_gene) == (f"c_+_{r.tx_id | 1}", 7 * (r.tx_id | 1)) for r in found.collect()) and found.count() == 4_000
+
+
+@pytest.mark.parametrize("made", ["exons", "transcripts"])
+def test_exons_are_not_taken_for_small(spark, made):
+    """Spark's estimate of exons, and of what is made of them, is not below what they hold, so that large ones are not broadcast."""
+    from readloom.plans.fixtures import Fixtures
+
+    df = getattr(Fixtures(spark, "/root/testdata/sf0.001"), made)()
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    assert estimate >= 40 * Fixtures(spark, "/root/testdata/sf0.001").exons().count()
